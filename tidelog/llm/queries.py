@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelog.llm import pii
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -32,5 +34,61 @@ SELECT d.doc_id, coalesce(had.n, 0) AS n_lines, coalesce(had.n, 0) - coalesce(ke
 FROM d LEFT JOIN had USING (r) LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL}
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return docs.select("doc_id", *map(count, pii.FORMS), digest, pii.span_text(F.col("spans")).alias("spans"))
+
+
+PII_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (
+  SELECT r, doc_id, text, 'email' AS kind, 0 AS no, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT r, doc_id, text, 'ip', 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT r, doc_id, text, 'card', 2, regexp_extract_all(text, '[0-9]([ -]?[0-9])+'), string_split_regex(text, '[0-9]([ -]?[0-9])+') FROM d
+  UNION ALL SELECT r, doc_id, text, 'phone', 3, regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][ ().0-9-]+[0-9]') FROM d),
+each AS (SELECT r, doc_id, text, kind, no, unnest(m) AS v, unnest(g[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM raw WHERE len(m) > 0),
+placed AS (
+  SELECT r, doc_id, text, kind, no, v, regexp_replace(v, '[^0-9]', '', 'g') AS ds,
+    sum(length(gap) + length(v)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM each),
+base AS (
+  SELECT r, doc_id, text, kind, no, v, ds, stop - length(v) AS start, stop FROM placed
+  WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) <= 255))
+    WHEN 'card' THEN length(ds) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(ds)), lambda j:
+      CASE WHEN j % 2 = 0 THEN ds[length(ds) - j]::INTEGER ELSE (2 * ds[length(ds) - j]::INTEGER) % 10 + (2 * ds[length(ds) - j]::INTEGER) // 10 END)) % 10 = 0
+    ELSE length(ds) BETWEEN 10 AND 15 END),
+near AS (
+  SELECT r, kind, CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE ds END AS entity, term FROM (
+    SELECT r, kind, v, ds, unnest(regexp_extract_all(lower(substring(text, (greatest(start - {pii.REACH}, 0) + 1)::BIGINT, (least(start, {pii.REACH}) + stop - start + {pii.REACH})::BIGINT)), '[\p{{L}}\p{{N}}]+')) AS term FROM base)
+  WHERE NOT list_contains(regexp_extract_all(lower(v), '[\p{{L}}\p{{N}}]+'), term)),
+held AS (SELECT DISTINCT r, kind, CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE ds END AS entity FROM base),
+n_e AS (SELECT kind, entity, count(*) AS n_e FROM held GROUP BY ALL HAVING count(*) >= {pii.SUPPORT}),
+n_et AS (SELECT kind, entity, term, count(DISTINCT r) AS n_et FROM near GROUP BY ALL HAVING count(DISTINCT r) >= {pii.SUPPORT}),
+n_t AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM d) GROUP BY term),
+told AS (
+  SELECT kind, entity, term FROM n_et JOIN n_e USING (kind, entity) JOIN n_t USING (term), (SELECT count(*)::DOUBLE AS n FROM d)
+  WHERE n_e < n AND log2(n) + log2(n_et) - log2(n_e) - log2(n_t) >= {pii.ALPHA} * (log2(n) - log2(n_e))),
+doc_terms AS (SELECT DISTINCT r, term FROM near JOIN told USING (kind, entity, term)),
+words AS (
+  SELECT r, v, sum(length(gap) + length(v)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
+    SELECT r, unnest(m) AS v, unnest(g[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM (
+      SELECT r, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS m, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS g FROM d WHERE r IN (SELECT r FROM doc_terms)))),
+spans AS (
+  SELECT r, kind, no, start, stop FROM base
+  UNION ALL SELECT words.r, 'term', 4, stop - length(v), stop FROM words JOIN doc_terms ON words.r = doc_terms.r AND lower(v) = term),
+told_spans AS (
+  SELECT r, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) AS spans,
+    string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) FILTER (WHERE no < 4) AS base,
+    count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+    count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told_spans USING (r)
+"""
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii}
+ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_pii": PII_SQL}
