@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +51,51 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package, wherever the driver has it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidelog_shipped", False):
+        return
+    top = Path(__file__).parents[1]
+    zipped = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog_package.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(zipped))
+    sc._tidelog_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def add_columns(
+    df: DataFrame,
+    fields: list[StructField],
+    make: Callable[[pa.RecordBatch], list[pa.Array]],
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``fields``, which ``make`` derives from each Arrow batch.
+
+    ``make`` gets a batch of all columns of ``df`` and returns one array for each field. Rows stay
+    where they are; nothing is shuffled.
+    """
+    kept = df.columns if keep is None else keep
+    places = [df.columns.index(c) for c in kept]
+    schema = StructType([*(df.schema[i] for i in places), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [*(batch.column(i) for i in places), *make(batch)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return map_batches(df, run, schema)
+
+
+def row_lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """An array of lists, the i-th with the next counts[i] of ``values``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import pii
+from tidelog.llm import decontam, pii
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -90,5 +90,29 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN told_spans USING (r)
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii}
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_pii": PII_SQL}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), keep=["doc_id"])
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
+# Whether a window occurs is told by a join of 13-word strings; a word is hit if any of the
+# windows that hold it occurs.
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i + 1:i + least(len(w), 13)], ' ') AS win FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM p),
+t AS (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS win FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, lengths WHERE len(w) >= n)),
+hit AS (SELECT r, t.n, i, item_id FROM t JOIN p ON t.n = p.n AND t.win = p.win),
+words AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hit),
+n_hit AS (SELECT r, count(*) AS n_hit FROM words GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
+"""
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination}
+ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL}
