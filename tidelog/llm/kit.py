@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+PART_BYTES = 4_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, a Parquet file or folder."""
@@ -73,6 +75,14 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def map_parts(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``limit`` bytes, so that what a part becomes stays small too."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def add_columns(
     df: DataFrame,
     fields: list[StructField],
@@ -89,7 +99,7 @@ def add_columns(
     schema = StructType([*(df.schema[i] for i in places), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map_parts(batches):
             arrays = [*(batch.column(i) for i in places), *make(batch)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, pii
+from tidelog.llm import bpe, decontam, pii
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -114,5 +115,17 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, keep=["doc_id"]))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe}
 ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL}
