@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontam, pii
+from tidelog.llm import bpe, decontam, pii, quality
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -127,5 +127,11 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, keep=["doc_id"]).drop("line_marks")
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op9_quality": op9_quality}
 ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL}
