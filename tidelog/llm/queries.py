@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontam, langid, pii, quality, url_filter
+from tidelog.llm import bpe, decontam, langid, pii, quality, url_filter, warc
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -36,6 +36,24 @@ FROM d LEFT JOIN had USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+  SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + v, 1), '' ORDER BY i) AS digest FROM (
+    SELECT hex, i, CAST(('0x' || substr(hex, 1 + 10 * (i // 8), 10)) AS BIGINT) // (1::BIGINT << (35 - 5 * (i % 8))) % 32 AS v
+    FROM (SELECT DISTINCT hex FROM p), range(32) AS t(i)) GROUP BY hex),
+g AS (SELECT hex, max(page_id) AS response_id, count(*) AS n FROM p GROUP BY hex)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response_id THEN response_id END AS refers_to, NULL::VARCHAR AS error
+FROM p JOIN bits USING (hex) JOIN g USING (hex)
+"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -148,5 +166,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality}
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality}
+ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL}
