@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontam, langid, pii, quality, url_filter, warc
+from tidelog.llm import bpe, chat, decontam, langid, pii, quality, url_filter, warc
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -166,5 +166,31 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality}
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL}
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return chat.read_back(chat.format_turns(rows.unionByName(probe)))
+
+
+# formatted_chars follows from the template: 15 characters around a user's turn, 7 around an
+# assistant's, 21 around another's with its role, and a backslash for each backslash or control string.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS t(i)),
+e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|\[INST\]|\[/INST\]|</?s>|<</?SYS>>|\[ROLE\]')) AS n,
+    length(role) + len(regexp_extract_all(role, '\\|\[INST\]|\[/INST\]|</?s>|<</?SYS>>|\[ROLE\]')) AS n_role FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 21 + n_role END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
+ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
