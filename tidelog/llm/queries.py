@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, decontam, langid, pii, quality, url_filter, warc
+from tidelog.llm import bpe, chat, decontam, langid, near_dedup, pii, quality, url_filter, warc
 from tidelog.llm.kit import table
 from tidelog.llm.line_dedup import line_dedup
 
@@ -36,6 +36,10 @@ FROM d LEFT JOIN had USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
@@ -192,5 +196,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
 ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
