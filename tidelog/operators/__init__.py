@@ -1,0 +1 @@
+"""DataFrame operators over command logs, placements and replication tables."""

@@ -1,0 +1 @@
+"""Registered queries, and what running them needs."""

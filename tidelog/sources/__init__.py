@@ -1,0 +1 @@
+"""Sources and sinks: append-only record files."""
