@@ -17,14 +17,15 @@ estimates the similarity to 0.03; pairs below ``floor`` go no further.
 
 Verification, on whole texts: first each document with the one that looks most similar among the
 first few of its buckets, which is linear in the rows and joins most groups. What remains are pairs
-of a bucket that the verified links haven't connected yet; those are all taken, in blocks of
-bounded size, so that no link between two groups is lost however large a bucket is. Texts with
+of a bucket that the verified links haven't connected yet. Those are compared in blocks of bounded
+size, by sketch and then by text, so that no link between two groups is lost however large a bucket
+is; only links leave a block. A pair is looked at in the first bucket that both are in. Texts with
 equal weights within one task are joined at once and only one goes on.
 
 A group is a connected component of verified links; its class is its smallest id.
 
 Defined results: null ids, and texts without words, are in no group: their class is their id.
-Rows that share an id are one document (the smallest text if they differ). Extra columns stay.
+Rows that share an id are one document, similar to what any of its texts is. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ FLOOR = 0.70
 BANDS, ROWS = 16, 4
 REGISTERS = 256
 FIRST = 64
-BLOCK = 2048
+BLOCK = 512
 BROADCAST_IDS = 2_000_000
 
 
@@ -188,7 +189,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
     """Runs of rows with equal first ``keys`` columns: whether a run goes on, and the columns' arrays.
 
-    A run comes in pieces of one batch at most. Binary columns become rows of uint64.
+    A run comes in pieces of one batch at most. Binary columns become rows of uint64, lists and
+    texts arrays of objects.
     """
     last = None
     for batch in batches:
@@ -197,6 +199,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool
             if pa.types.is_binary(c.type):
                 flat = np.frombuffer(b"".join(c.to_pylist()), dtype=U64) if len(c) else np.zeros(0, U64)
                 columns.append(flat.reshape(len(c), -1))
+            elif pa.types.is_list(c.type) or pa.types.is_string(c.type):
+                objects = np.empty(len(c), object)
+                objects[:] = c.to_pylist()
+                columns.append(objects)
             else:
                 columns.append(c.to_numpy(zero_copy_only=False))
         n = batch.num_rows
@@ -235,29 +241,107 @@ def _most_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(head_ids[best[good]]), pa.array(ids[at : at + BLOCK][good]), pa.array(found[good])], names=PAIRS.names)
 
 
-def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, low, high, block, id, comp, sketch): all similar pairs of two components, between two blocks or in one."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key another row has, and those without a key (copies)."""
+    waiting, before = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if waiting is None else [waiting, batch])
+        key = table.column(0).to_pandas(integer_object_nulls=True).to_numpy()
+        keep = np.array([k is None for k in key])
+        same = key[1:] == key[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= key[0] is not None and key[0] == before
+        # The last row waits for the batch that follows.
+        yield from table.slice(0, len(key) - 1).filter(pa.array(keep[:-1], pa.bool_())).combine_chunks().to_batches()
+        waiting = table.slice(len(key) - 1).combine_chunks().to_batches()[0]
+        before = key[-2] if len(key) > 1 else before
+    if waiting is not None:
+        key = waiting.column(0)[0].as_py()
+        if key is None or key == before:
+            yield waiting
+
+
+MIXED = ["key", "low", "high", "block", "id", "comp", "keys", "sketch"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows MIXED sorted by key, low and high: each group's columns, and its similar pairs of two components.
+
+    A pair of rows (i, j) comes in one group only: that of the smallest key that both have.
+    """
 
-    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        low, high, block, ids, comp, rows = columns[1][0], columns[2][0], *columns[3:]
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    def pairs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        key, low, high, block, ids, comp, keys, rows = columns[:8]
+        left, right = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for at in range(0, len(left), 256):
             some = left[at : at + 256]
-            good = (estimates(rows[some], rows[right]) >= FLOOR) & (comp[some][:, None] != comp[right][None, :])
-            if low == high:
+            looks = estimates(rows[some], rows[right])
+            good = (looks >= FLOOR) & (comp[some][:, None] != comp[right][None, :])
+            if low[0] == high[0]:
                 good &= ids[some][:, None] < ids[right][None, :]
             i, j = np.nonzero(good)
-            a, b = ids[some][i], ids[right][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a)))], names=PAIRS.names)
+            found.append((some[i], right[j], looks[i, j]))
+        i, j, looks = (np.concatenate(x) for x in zip(*found, strict=True))
+        sets = {k: set(keys[k]) for k in {*i.tolist(), *j.tolist()}}
+        here = np.array([min(sets[x] & sets[y]) == key[0] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        return columns, i[here], j[here], looks[here]
 
     held: list[list[np.ndarray]] = []
     for goes_on, columns in _groups(batches, 3):
         if held and not goes_on:
-            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield pairs([np.concatenate(x) for x in zip(*held, strict=True)])
             held = []
         held.append(columns)
     if held:
-        yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+        yield pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, low, high, id) of groups that are in any of their pairs."""
+    for columns, i, j, _ in _blocks(batches):
+        rows = np.union1d(i, j)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[k][rows]) for k in (0, 1, 2, 4)], names=["key", "low", "high", "id"])
+
+
+def _linked(threshold: float):
+    """Links (a, b) between components, by whole texts: of two components the pairs that look best are tried first, until one holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, i, j, looks in _blocks(batches):
+            ids, comp, texts = columns[4], columns[5].tolist(), columns[8]
+            root = {c: c for c in comp}
+
+            def find(c: int, root=root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            links = []
+            for k in np.argsort(-looks, kind="stable").tolist():
+                x, y = int(i[k]), int(j[k])
+                a, b = find(comp[x]), find(comp[y])
+                if a == b:
+                    continue
+                for row in (x, y):
+                    if row not in sets:
+                        (own,) = slices(pa.array([texts[row]], pa.string()), 1 << 62)
+                        sets[row] = weighted_shingles(own)[1:]
+                if similarity(sets[x], sets[y]) >= threshold:
+                    root[b] = a
+                    links.append((int(ids[x]), int(ids[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of ids, to be broadcast if it has at most BROADCAST_IDS rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -269,12 +353,12 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(500)).cast("int").alias("lots"))
     partners = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots").cast("long")).alias("lot"), F.col("b").alias("id"))
     hubs = lots.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots").cast("long") - 1)).alias("lot"), F.col("a").alias("id"))
-    rows = partners.unionByName(hubs).join(texts, "id").select("a", "lot", (F.col("id") != F.col("a")).alias("partner"), "id", "text")
+    rows = texts.join(small(cut(partners.unionByName(hubs), "lots")), "id").select("a", "lot", (F.col("id") != F.col("a")).alias("partner"), "id", "text")
     rows = rows.repartition("a", "lot").sortWithinPartitions("a", "lot", "partner", "id")
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("similarity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        hub, hub_sets = None, []
         for batch in map_parts(batches):
             a, ids = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             out: tuple[list, list, list] = ([], [], [])
@@ -284,8 +368,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 for i in range(len(part)):
                     k, own = part.first + i, (value[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
                     if ids[k] == a[k]:
-                        hub, hub_set = ids[k], own
-                    elif hub == a[k] and (s := similarity(hub_set, own)) >= threshold:
+                        hub, hub_sets = ids[k], [own, *(hub_sets if hub == ids[k] else [])]
+                    elif hub == a[k] and (s := max(similarity(x, own) for x in hub_sets)) >= threshold:
                         for x, y in zip(out, (a[k], ids[k], s), strict=True):
                             x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=schema.names)
@@ -296,35 +380,33 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def near_links(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) whose components are the groups of near-duplicates."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = map_batches(rows, _sign, SIGNED)
-    signed = cut(signed.repartition("key").sortWithinPartitions("key", "id"), "bands")
+    signed = map_batches(rows, _sign, SIGNED).repartition("key").sortWithinPartitions("key", "id")
+    signed = cut(map_batches(signed, _shared, SIGNED), "bands")
     copies = signed.where(F.col("same").isNotNull()).select(F.least("id", "same").alias("a"), F.greatest("id", "same").alias("b"))
-    bands = signed.where(F.col("same").isNull()).select("key", "id", "sketch")
-
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(shared, "buckets")
-    met = cut(bands.join(shared.select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key", "id"), "met")
-    ids = cut(met.select("id").distinct(), "met_ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = cut(rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "met_texts")
+    met = signed.where(F.col("key").isNotNull()).select("key", "id", "sketch")
+    texts = cut(rows.join(small(cut(met.select("id").distinct(), "met_ids")), "id", "left_semi"), "met_texts")
 
     first = map_batches(met.repartition("key").sortWithinPartitions("key", "id"), _most_similar, PAIRS)
     first = cut(first.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"), "first_pairs")
     links = cut(verified(first, texts, threshold).select("a", "b").unionByName(copies), "first_links")
 
     comps = components(links)
-    labelled = met.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch")
-    labelled = cut(labelled, "labelled")
+    labelled = cut(met.join(small(comps), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch"), "labelled")
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     mixed = cut(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed")
-    dealt = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rest = labelled.join(small(mixed), "key")
+    keys = rest.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    dealt = rest.join(keys, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "comp", "sketch")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    rest = map_batches(dealt, _unconnected, PAIRS).select("a", "b").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "rest_pairs")
-    return links.unionByName(cut(verified(rest, texts, threshold).select("a", "b"), "rest_links"))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(MIXED)
+    place = ["key", "low", "high"]
+    dealt = cut(dealt, "dealt")
+    in_pairs = map_batches(dealt.repartition(*place).sortWithinPartitions(*place, "id"), _involved, StructType([StructField(c, LongType()) for c in (*place, "id")]))
+    wanted = cut(dealt.join(in_pairs, [*place, "id"], "left_semi"), "wanted")
+    needed = small(cut(wanted.select("id").distinct(), "wanted_ids"))
+    read = texts.join(needed, "id", "left_semi").join(wanted, "id").select(*MIXED, "text")
+    read = read.repartition(*place).sortWithinPartitions(*place, "id")
+    return links.unionByName(cut(map_batches(read, _linked(threshold), StructType([StructField("a", LongType()), StructField("b", LongType())])), "rest_links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
