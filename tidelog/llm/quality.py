@@ -39,7 +39,7 @@ NOTICE_WORDS = (
 ).split()
 
 FEATURES = (
-    "bias length symbols upper digits marks sentence_end word_length repeated_line repeated_words distinct_words first last short notice".split()
+    "bias length symbols upper digits marks word_length repeated_line repeated_words distinct_words first last notice".split()
 )
 
 
@@ -131,13 +131,12 @@ def describe(texts: Texts) -> Lines:
     pairs = mix(hashes ^ mix(in_line.astype(U64) + U64(1)))
     distinct = np.bincount(in_line[np.unique(pairs, return_index=True)[1]], minlength=len(w0))
     notices = np.bincount(in_line[np.isin(_lowered(data, starts, ends), _notice_hashes())], minlength=len(w0))
-    final = data[ends[w1 - 1] - 1] if len(w1) else np.zeros(0, np.uint8)
     firsts = np.ones(len(text), bool)
     firsts[1:] = text[1:] != text[:-1]
     features = np.stack((
         np.ones(len(words)), np.log1p(words) / 4, within(1) / chars, within(2) / letters, within(4) / chars, within(5) / chars,
-        np.isin(final, np.frombuffer(b".!?:", np.uint8)), chars / words / 10, ~seen_first, (repeats[w1] - repeats[w0]) / words,
-        distinct / words, firsts, np.roll(firsts, -1), words < 5, np.minimum(notices, 3) / 3,
+        chars / words / 10, ~seen_first, (repeats[w1] - repeats[w0]) / words,
+        distinct / words, firsts, np.roll(firsts, -1), np.minimum(notices, 3) / 3,
     ), axis=1).astype(np.float64)
     return Lines(text, line, words, features, base, all_lines)
 
@@ -185,8 +184,12 @@ class Crf:
 ALL_CONTENT = Crf(np.eye(len(FEATURES))[0], np.zeros((2, 2)))
 
 
-def train(examples: list[tuple[np.ndarray, bool]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
-    """Gradient ascent (Adam) on the mean log-likelihood; the classes weigh the same."""
+def train(examples: list[tuple[np.ndarray, bool]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, step_decay: float = 0.1) -> Crf:
+    """Gradient ascent (Adam) on the mean log-likelihood; the classes weigh the same.
+
+    As all lines of an example have one label, neighbours seem to agree more than they do;
+    ``step_decay`` holds their weights down, so that a few odd lines don't turn a document.
+    """
     if len({good for _, good in examples}) < 2:
         return ALL_CONTENT
     d, length, k = len(examples), max(len(x) for x, _ in examples), len(FEATURES)
@@ -218,7 +221,8 @@ def train(examples: list[tuple[np.ndarray, bool]], rounds: int = 150, rate: floa
         expected = np.einsum("d,dlab->ab", weight, joint)
         np.add.at(expected, (truth, truth), -weight * (lines - 1))
         grad[k:] = -expected.ravel()
-        grad -= decay * theta
+        grad[:k] -= decay * theta[:k]
+        grad[k:] -= step_decay * theta[k:]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return Crf(theta[:k], theta[k:].reshape(2, 2))
