@@ -33,10 +33,18 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """An unused path in ``spark.checkpoint.dir``; only where that is unset, in a temporary folder of this machine."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in tests, a temporary folder of this machine takes its place.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        sc = spark.sparkContext
+        at = sc._tidelog_shared = getattr(sc, "_tidelog_shared", None) or tempfile.mkdtemp(prefix="tidelog-")
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
