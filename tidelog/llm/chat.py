@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidelog.llm.kit import map_batches, map_parts
+from tidelog.llm.kit import map_parts
 from tidelog.llm.template import Edge, compile_template
+from tidelog.plans.shipping import map_batches
 
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE]")
 TEMPLATE = """

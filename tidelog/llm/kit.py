@@ -1,19 +1,16 @@
-"""What the operators of this subpackage share: tables, the shared folder, stable names."""
+"""What the operators of this subpackage share: tables, cuts of lineage, columns made batch by batch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+from tidelog.plans.shipping import map_batches, shared_path
+
 PART_BYTES = 4_000_000
 
 
@@ -22,27 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-    temporary folder of this machine takes its place.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read again: its lineage ends here."""
-    path = fresh_path(df.sparkSession, what)
+    path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,26 +34,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this package, wherever the driver has it from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidelog_shipped", False):
-        return
-    top = Path(__file__).parents[1]
-    zipped = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog_package.zip"
-    with zipfile.ZipFile(zipped, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(zipped))
-    sc._tidelog_shipped = True
-
-
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
-    """mapInArrow, with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def map_parts(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``limit`` bytes, so that what a part becomes stays small too."""
     for batch in batches:

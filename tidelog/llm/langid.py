@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidelog.llm.arrays import Texts, slices
-from tidelog.llm.kit import add_columns, free_name, map_batches, map_parts
+from tidelog.llm.kit import add_columns, free_name, map_parts
+from tidelog.plans.shipping import map_batches
 
 # Families of languages by ISO 639-1 code.
 FAMILIES = {

@@ -40,7 +40,8 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, Str
 
 from tidelog.llm.arrays import U64, Texts, byte_class, gram_hashes, mix, runs, slices, span_hashes
 from tidelog.llm.components import components
-from tidelog.llm.kit import cut, free_name, map_batches, map_parts
+from tidelog.llm.kit import cut, free_name, map_parts
+from tidelog.plans.shipping import map_batches
 
 WORDS = 5
 THRESHOLD = 0.8

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidelog.llm.arrays import U64, Texts, byte_class, gram_hashes, mix, runs, slices, span_hashes
-from tidelog.llm.kit import add_columns, free_name, map_batches, map_parts
+from tidelog.llm.kit import add_columns, free_name, map_parts
+from tidelog.plans.shipping import map_batches
 
 SHARE = 0.5
 PER_CLASS, MAX_LINES = 1000, 64

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, LongType, StructField, StructType
 
 from tidelog.llm.arrays import U64, Texts, slices
-from tidelog.llm.kit import add_columns, free_name, map_batches, map_parts
+from tidelog.llm.kit import add_columns, free_name, map_parts
+from tidelog.plans.shipping import map_batches
 
 ORDERS = 5
 WIDTHS = [1, 64, 1 << 12, 1 << 14, 1 << 14]

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidelog.llm.kit import cut, fresh_path, map_batches, map_parts
+from tidelog.llm.kit import cut, map_parts
+from tidelog.plans.shipping import map_batches, shared_path
 
 ARCHIVE_BYTES = 8_000_000
 DICTIONARY_BYTES = 32_768
@@ -279,6 +280,6 @@ def with_revisits(pages: DataFrame, id_col: str, uri_col: str, payload_col: str,
 def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES, with_payload: bool = False) -> DataFrame:
     """The records read back from archives written of ``pages``."""
     spark = pages.sparkSession
-    at = fresh_path(spark, "archives")
+    at = shared_path(spark, "archives")
     write_archives(with_revisits(pages, id_col, uri_col, payload_col, min_bytes), at)
     return read_archives(spark, at, with_payload)
