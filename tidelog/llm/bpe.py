@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
 from tidelog.llm.kit import add_columns, free_name, row_lists
 
-KEPT = 150_000
+KEPT = 100_000
 LONG = 48
 SIDE = 1 << 32
 
@@ -47,17 +47,17 @@ def byte_letters() -> list[str]:
 
 
 class Recent(dict):
-    """What ``make`` returned for the keys met of late: two generations of at most KEPT each."""
+    """What ``make`` returned for the keys met of late: two generations of at most ``kept`` each."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, kept: int = KEPT) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.kept, self.older = make, kept, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[key] = value
@@ -86,12 +86,13 @@ class Bpe:
         self.last_symbols = [self.vocab.get(x + self.end) for x in letters]
         self.inside = self._pairs_inside(letters)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.by_letters = r"|[\p{L}]+|" in pattern and pattern.endswith(r"|[^\s\p{L}\p{N}]+")
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.space = regex.compile(f"[{SPACE}]+").split
         self.chunk = Recent(self._chunk)
         self.word = Recent(self._word)
-        self.fragment = Recent(self._fragment)
+        self.fragment = Recent(self._fragment, KEPT // 10)
 
     def _pairs_inside(self, letters: list[str]) -> bytearray:
         """1 at first * 512 + second for neighbours inside a token; a word's last byte counts from 256."""
@@ -108,6 +109,11 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of what stands between white space, which no word of the pattern crosses."""
+        # Letters, or letters and a mark, are what the pattern would make of them.
+        if self.by_letters and chunk.isalpha():
+            return self.word[chunk]
+        if self.by_letters and chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+            return self.word[chunk[:-1]] + self.word[chunk[-1]]
         return tuple(chain.from_iterable(map(self.word.__getitem__, self.words(chunk))))
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -122,7 +128,7 @@ class Bpe:
         if last > 0 and not inside[before + raw[last] + 256]:
             ids += self.fragment[raw[start:last], False]
             start = last
-        return ids + self.fragment[raw[start:], True]
+        return ids + self.fragment[raw[start:], True] if start else self._fragment((raw, True))
 
     def _fragment(self, key: tuple[bytes, bool]) -> tuple[int, ...]:
         raw, ends = key
@@ -177,7 +183,7 @@ class Bpe:
                 # Lower-casing by characters: a capital sigma has one small form wherever it stands.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             # Python's own split also takes the four information separators for white space.
-            chunks = self.space(part.lower()) if any(map(part.__contains__, "\x1c\x1d\x1e\x1f")) else part.lower().split()
+            chunks = filter(None, self.space(part.lower())) if any(map(part.__contains__, "\x1c\x1d\x1e\x1f")) else part.lower().split()
             ids += chain.from_iterable(map(self.chunk.__getitem__, chunks))
         return ids
 
