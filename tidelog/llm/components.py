@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.kit import cut
+from tidelog.llm.kit import cut, discard
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,6 +18,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = cut(edges, "edges")
     labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    written = labels
     for _ in range(rounds):
         offered = edges.join(labels, edges["b"] == labels["id"]).select(F.col("a").alias("id"), "comp")
         least = offered.unionByName(labels).groupBy("id").agg(F.min("comp").alias("new"))
@@ -25,7 +26,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         onward = labels.select(F.col("id").alias("new"), F.col("comp").alias("further"))
         jumped = least.join(onward, "new", "left").select("id", F.least("new", F.coalesce("further", "new")).alias("comp"))
         moved = cut(jumped.join(labels.withColumnRenamed("comp", "old"), "id").select("id", "comp", (F.col("comp") < F.col("old")).alias("moved")), "labels")
-        labels = moved.select("id", "comp")
+        discard(written)
+        labels, written = moved.select("id", "comp"), moved
         if not moved.where("moved").limit(1).count():
+            discard(edges)
             return labels
     raise RuntimeError(f"no end after {rounds} rounds")

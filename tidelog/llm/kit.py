@@ -23,7 +23,17 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read again: its lineage ends here."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidelog_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` from which nothing is read any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._tidelog_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

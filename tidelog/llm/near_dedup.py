@@ -40,7 +40,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, Str
 
 from tidelog.llm.arrays import U64, Texts, byte_class, gram_hashes, mix, runs, slices, span_hashes
 from tidelog.llm.components import components
-from tidelog.llm.kit import cut, free_name, map_parts
+from tidelog.llm.kit import cut, discard, free_name, map_parts
 from tidelog.plans.shipping import map_batches
 
 WORDS = 5
@@ -143,7 +143,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     cx, cy = np.concatenate(([0], np.cumsum(x))), np.concatenate(([0], np.cumsum(y)))
     k = np.searchsorted(ratio, ratio, side="left")
     above, below = only_a + cx[-1] - cx[k], only_b + cy[k]
-    return float((1 / (above / x + below / y)).sum())
+    # Rounded, so that a similarity of just the threshold isn't lost to the last bits.
+    return round(float((1 / (above / x + below / y)).sum()), 12)
 
 
 SIGNED = StructType([StructField("key", LongType()), StructField("id", LongType()), StructField("same", LongType()), StructField("sketch", BinaryType())])
@@ -407,7 +408,9 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, threshold: float = T
     needed = small(cut(wanted.select("id").distinct(), "wanted_ids"))
     read = texts.join(needed, "id", "left_semi").join(wanted, "id").select(*MIXED, "text")
     read = read.repartition(*place).sortWithinPartitions(*place, "id")
-    return links.unionByName(cut(map_batches(read, _linked(threshold), StructType([StructField("a", LongType()), StructField("b", LongType())])), "rest_links"))
+    more = cut(map_batches(read, _linked(threshold), StructType([StructField("a", LongType()), StructField("b", LongType())])), "rest_links")
+    discard(signed, texts, first, labelled, mixed, dealt, wanted)
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
