@@ -103,6 +103,23 @@ def test_near_duplicate_classes(spark, small, texts):
     assert links and got == {i: find(i) for i in sets}
 
 
+def test_a_group_with_few_strangers_is_dealt_out_once(spark):
+    comps = {i: 1 if i < 3000 else i for i in range(3003)}
+    rows = [(key, i, c, b"\0" * 64) for key in (7, 9) for i, c in comps.items() if key == 7 or i < 4]
+    rows += [(11, 3000, 3000, b""), (11, 3001, 3001, b"")]
+    dealt, _ = near_dedup.deal(spark.createDataFrame(rows, "key bigint, id bigint, comp bigint, sketch binary"))
+    got = dealt.drop("sketch").collect()
+    # The group once, and each stranger for each of the group's six blocks and its own.
+    assert sum(r["key"] == 7 for r in got) == 3000 + 3 * 7
+    assert {r["key"] for r in got} == {7, 11} and all(r["keys"] == sorted(k for k, i, *_ in rows if i == r["id"] and k != 9) for r in got if r["id"] >= 2990)
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r["key"], r["low"], r["high"]].append((r["id"], r["block"]))
+    met = {(k, *sorted((i, j))) for (k, low, high), own in groups.items() for i, a in own if a == low for j, b in own if b == high and i != j}
+    assert met >= {(7, i, j) for j in (3000, 3001, 3002) for i in range(j) if comps[i] != comps[j]} | {(11, 3000, 3001)}
+    assert not any(k == 7 and j < 3000 for k, _, j in met)
+
+
 def test_a_large_group_of_edited_copies_holds_together(spark):
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}" for _ in range(150)]

@@ -379,6 +379,29 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
+def deal(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows (key, id, comp, sketch) of buckets that hold several components, dealt out as MIXED; and the tables it wrote on the way.
+
+    The rows of a bucket's largest component never meet each other: they go once to each block of
+    the other rows, and these go to all blocks. A huge group with a few strangers in its bucket so
+    makes about as many rows as it has.
+    """
+    several = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    several = cut(several.select("key"), "mixed")
+    rest = labelled.join(small(several), "key")
+    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    sizes = cut(sizes.select("key", "main", F.ceil(F.col("most") / BLOCK).alias("inner"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("outer")), "mixed")
+    keys = rest.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    dealt = rest.join(small(sizes), "key").join(keys, "id")
+    in_main, spread = F.col("comp") == F.col("main"), F.xxhash64("id")
+    dealt = dealt.withColumn("block", F.when(in_main, F.pmod(spread, "inner")).otherwise(F.col("inner") + F.pmod(spread, "outer")))
+    others = F.sequence(F.when(in_main, F.col("inner")).otherwise(F.lit(0).cast("long")), F.col("inner") + F.col("outer") - 1)
+    dealt = dealt.withColumn("other", F.explode(others))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return cut(dealt.select(MIXED), "dealt"), [several, sizes]
+
+
 def near_links(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) whose components are the groups of near-duplicates."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -394,22 +417,15 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, threshold: float = T
 
     comps = components(links)
     labelled = cut(met.join(small(comps), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    mixed = cut(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed")
-    rest = labelled.join(small(mixed), "key")
-    keys = rest.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    dealt = rest.join(keys, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(MIXED)
+    dealt, mixed = deal(labelled)
     place = ["key", "low", "high"]
-    dealt = cut(dealt, "dealt")
     in_pairs = map_batches(dealt.repartition(*place).sortWithinPartitions(*place, "id"), _involved, StructType([StructField(c, LongType()) for c in (*place, "id")]))
     wanted = cut(dealt.join(in_pairs, [*place, "id"], "left_semi"), "wanted")
     needed = small(cut(wanted.select("id").distinct(), "wanted_ids"))
     read = texts.join(needed, "id", "left_semi").join(wanted, "id").select(*MIXED, "text")
     read = read.repartition(*place).sortWithinPartitions(*place, "id")
     more = cut(map_batches(read, _linked(threshold), StructType([StructField("a", LongType()), StructField("b", LongType())])), "rest_links")
-    discard(signed, texts, first, labelled, mixed, dealt, wanted)
+    discard(signed, texts, first, labelled, *mixed, dealt, wanted)
     return links.unionByName(more)
 
 
