@@ -329,6 +329,17 @@ def test_terms_that_disclose_an_address_are_found_and_rewritten(spark):
     assert out[0]["safe_text"] == "Contact   [NUMBER] at [EMAIL] today number 0" and out[100]["safe_text"] == rows[5][1]
 
 
+def test_terms_far_from_an_address_and_in_other_documents_are_found(spark):
+    far = "we met today " * 20
+    rows = [(i, f"Quixotl {far} ana.k@example.com") for i in range(8)] + [(50, "Quixotl alone")] + [(100 + i, "we met today") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    assert all(out[i]["safe_text"] == f"[NAME] {far} [EMAIL]" for i in range(8)) and out[50]["safe_text"] == "[NAME] alone"
+    assert out[100]["spans"] == []
+    near = {r["doc_id"]: r for r in pii.sanitise(docs, reach=pii.REACH).collect()}
+    assert near[0]["safe_text"] == f"Quixotl {far} [EMAIL]" and near[50]["spans"] == []
+
+
 def test_archives_follow_the_format_and_damage_is_seen():
     records = [warc.make_record(i, f"http://x/{i}", b"<p>%d</p>" % i * 50, warc.sha1_base32(b"<p>%d</p>" % i * 50), None, False) for i in range(40)]
     data = warc.pack(records)

@@ -2,21 +2,26 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. Each value
 found (lower-cased address, digits of a number) is a protected entity. The corpus then tells
-which terms reveal an entity: of the terms that stand within ``reach`` characters of a mention,
-those whose pointwise mutual information with the entity,
+which terms reveal an entity: of the terms of the documents that hold it, those whose pointwise
+mutual information with the entity,
 
     PMI(e; t) = log2(N * n_et / (n_e * n_t)),
 
 is at least ``alpha`` times the entity's own information IC(e) = log2(N / n_e). N is the number
-of documents, n_e and n_t those that hold e and t anywhere, n_et those with t near e; t counts
-only if n_et is ``support`` or more. Every occurrence of such a term in a document where it
-stands near that entity becomes a span of kind ``term``; in the cleaned text it is generalised
-to [NAME] or [NUMBER] by its form, or removed.
+of documents, n_e, n_t and n_et those that hold e, t and both anywhere; t counts only if n_et is
+``support`` or more. Every occurrence of such a term in any document becomes a span of kind
+``term``; in the cleaned text it is generalised to [NAME] or [NUMBER] by its form, or removed.
 
-Only documents that hold base spans are shuffled with their texts. Counts are combined before
-each shuffle, and mentions of an entity are never brought into one group, so an address that a
-third of all documents carry is one row for each task. A mention adds the terms of its own
-surroundings, not all of its document's, so the work is linear in the text.
+With ``reach`` set, n_et counts only documents with t within so many characters of a mention of
+e, and only such documents get t as spans. That misses terms further away, and documents that
+hold a term without its entity; it is what the SQL of ``op4_pii`` says.
+
+Only documents that hold base spans or terms found are shuffled with their texts. Counts are
+combined before each shuffle, and mentions of an entity are never brought into one group, so an
+address that a third of all documents carry is one row for each task. Entities in fewer than
+``support`` documents, which no term can reveal, are left out before terms are paired with them,
+and so is a term with n_t above n_e ** alpha * N ** (1 - alpha): as n_et is n_e at most, its
+information is below the threshold whatever n_et is. Neither changes a result.
 
 Defined results: null text counts as empty; a document without spans keeps its text; rows with
 equal id and text share one result; overlapping spans are all reported and cut out as one
@@ -146,7 +151,31 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text: str, alpha: flo
     return counted.where((F.col("n_e") < total) & (pmi >= F.lit(alpha) * (log(n) - log(F.col("n_e"))))).select("kind", "entity", "term")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
+def whole_disclosing_terms(held: DataFrame, holding: DataFrame, docs: DataFrame, alpha: float, support: int) -> DataFrame:
+    """(kind, entity, term) whose mutual information passes the threshold, with terms of whole documents.
+
+    held: one row for each entity of each document, with ``own``, the terms of its values; holding: the documents.
+    """
+    total = docs.count()
+    n = F.lit(float(max(total, 1)))
+    n_e = held.groupBy("kind", "entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total))
+    # A little above the bound, as powers are rounded.
+    n_e = cut(n_e.withColumn("most", F.pow("n_e", F.lit(alpha)) * F.pow(n, F.lit(1 - alpha)) * 1.000001), "often")
+    top = n_e.agg(F.max("most")).first()[0] or 0.0
+    n_t = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = cut(n_t.where((F.col("n_t") >= support) & (F.col("n_t") <= top)), "term_counts")
+    held = held.join(n_e, ["kind", "entity"]).withColumnsRenamed({"id": "id2", "key": "key2"})
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
+    texts = holding.select("id", "key", "text").join(held.select("id2", "key2").distinct(), same, "left_semi").dropDuplicates(["id", "key"])
+    words = texts.select("id", "key", F.explode(terms_of(F.col("text"))).alias("term")).join(n_t, "term")
+    pairs = words.join(held, same).where((F.col("n_t") <= F.col("most")) & ~F.array_contains("own", F.col("term")))
+    counted = pairs.groupBy("kind", "entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    log = lambda x: F.log2(x.cast("double"))
+    pmi = log(n) + log(F.col("n_et")) - log(F.col("n_e")) - log(F.col("n_t"))
+    return counted.where(pmi >= F.lit(alpha) * (log(n) - log(F.col("n_e")))).select("kind", "entity", "term")
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, reach: int | None = None) -> DataFrame:
     """``docs`` with base (spans), spans (base and term spans) and safe_text."""
     text, key, base, extra = (free_name(docs, x) for x in ("pii_text", "pii_key", "base", "term_spans"))
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
@@ -154,21 +183,29 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     own = rows.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(text).alias("text"))
     holding = base_spans(own, "text", "base").where(F.size("base") > 0)
 
-    around = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - reach, F.lit(0)).cast("int") + 1, (F.least(s["start"], F.lit(reach)) + s["end"] - s["start"] + reach).cast("int"))
+    same = lambda a, b: F.col("id").eqNullSafe(F.col(a)) & (F.col("key") == F.col(b))
     entity = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.when(F.col("s.kind") == 1, F.col("s.value")).otherwise(digits(F.col("s.value"))))
-    # The terms of the value itself, as "mail" and "com" of an address, reveal nothing more.
-    near = F.array_except(terms_of(around(F.col("s"))), terms_of(F.col("s.value")))
-    single = holding.select("id", "key", "text", F.explode("base").alias("s")).select("id", "key", F.col("s.kind").alias("kind"), entity.alias("entity"), near.alias("near"))
-    mentions = cut(single.groupBy("id", "key", "kind", "entity").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "mentions")
-
-    told = cut(disclosing_terms(mentions, own, "text", alpha, support), "disclosing")
-    here = mentions.select("id", "key", "kind", "entity", F.explode("near").alias("term")).join(told, ["kind", "entity", "term"]).select("id", "key", "term").distinct()
+    single = holding.select("id", "key", "text", F.explode("base").alias("s"))
+    by_entity = ["id", "key", "kind", "entity"]
+    if reach is None:
+        # The terms of the values themselves, as "mail" and "com" of an address, reveal nothing more.
+        values = single.select("id", "key", F.col("s.kind").alias("kind"), entity.alias("entity"), terms_of(F.col("s.value")).alias("own"))
+        held = cut(values.groupBy(*by_entity).agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")), "mentions")
+        told = cut(whole_disclosing_terms(held, holding, own, alpha, support), "disclosing")
+        here = own.select("id", "key", F.explode(terms_of(F.col("text"))).alias("term")).join(told.select("term").distinct(), "term").select("id", "key", "term").distinct()
+    else:
+        around = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - reach, F.lit(0)).cast("int") + 1, (F.least(s["start"], F.lit(reach)) + s["end"] - s["start"] + reach).cast("int"))
+        near = F.array_except(terms_of(around(F.col("s"))), terms_of(F.col("s.value")))
+        single = single.select("id", "key", F.col("s.kind").alias("kind"), entity.alias("entity"), near.alias("near"))
+        mentions = cut(single.groupBy(*by_entity).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "mentions")
+        told = cut(disclosing_terms(mentions, own, "text", alpha, support), "disclosing")
+        here = mentions.select(*by_entity, F.explode("near").alias("term")).join(told, ["kind", "entity", "term"]).select("id", "key", "term").distinct()
     here = cut(here, "doc_terms")
     carriers = here.select("id", "key").distinct().withColumnsRenamed({"id": "id2", "key": "key2"})
-    texts = holding.select("id", "key", "text").dropDuplicates(["id", "key"]).join(carriers, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left_semi")
+    texts = own.join(carriers, same("id2", "key2"), "left_semi").dropDuplicates(["id", "key"])
     words = texts.withColumn("found", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
     words = words.select("id", "key", F.explode(_placed(F.col("text"), F.col("found"), TERM, TERM_KIND)).alias("s")).withColumn("term", F.lower("s.value"))
-    hits = words.join(here.withColumnsRenamed({"id": "id2", "key": "key2", "term": "term2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")) & (F.col("term") == F.col("term2")), "left_semi")
+    hits = words.join(here.withColumnsRenamed({"id": "id2", "key": "key2", "term": "term2"}), same("id2", "key2") & (F.col("term") == F.col("term2")), "left_semi")
     spans = hits.groupBy(F.col("id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("s").alias(extra))
 
     full = base_spans(rows, text, base).join(spans, F.col(id_col).eqNullSafe(F.col("id2")) & (F.col(key) == F.col("key2")), "left").drop("id2", "key2")

@@ -59,7 +59,16 @@ FROM p JOIN bits USING (hex) JOIN g USING (hex)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Terms within REACH of a mention, as PII_SQL has them."""
+    return pii_spans(pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=pii.REACH))
+
+
+def op4_pii_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms anywhere in the documents of an entity, marked in every document."""
+    return pii_spans(pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def pii_spans(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     digest = F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return docs.select("doc_id", *map(count, pii.FORMS), digest, pii.span_text(F.col("spans")).alias("spans"))
@@ -196,5 +205,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op4_pii_whole": op4_pii_whole, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
 ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
