@@ -247,6 +247,34 @@ def test_smoothed_probabilities_sum_to_one():
         assert np.exp(model.log_probability(every)).sum() == pytest.approx(1)
 
 
+def test_url_scores_are_those_of_exact_contexts(spark):
+    rng = np.random.default_rng(5)
+    urls = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz/"), 40)) for _ in range(400)]
+    urls = [f"http://{u}/casino/" if i % 4 == 0 else f"http://{u}" for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r["score"] for r in url_filter.judge(pages, url_filter.fit(pages), []).collect()}
+    counts = [{}, {}]
+    contexts = lambda u, i: [u[max(i - k, 0) : i].rjust(k, "^") for k in range(url_filter.ORDERS)]
+    spelt = [u.removeprefix("http://") for u in urls]
+    for url, u in zip(urls, spelt, strict=True):
+        model = counts[bool(re.search(url_filter.REJECT, url))]
+        for i, c in enumerate(u):
+            for context in contexts(u, i):
+                after = model.setdefault(context, {})
+                after[c] = after.get(c, 0) + 1
+
+    def probability(model, u, i):
+        p = 1 / 64
+        for context in contexts(u, i):
+            if after := model.get(context):
+                p = (after.get(u[i], 0) + len(after) * p) / (sum(after.values()) + len(after))
+        return p
+
+    for k, u in enumerate(spelt):
+        gain = [np.log(probability(counts[0], u, i) / probability(counts[1], u, i)) for i in range(len(u))]
+        assert got[k] == pytest.approx(np.mean(gain), abs=1e-9)
+
+
 def wu_manber(document, items):
     tables = decontam.compile_patterns(items)
     n_words, hits, found = decontam._search_batch(tables, pa.array([document], pa.string()), None)

@@ -9,9 +9,12 @@ threshold is blocked. The threshold is calibrated on all URLs: the highest that
 ``max_false`` of the accepted ones.
 
 URLs to learn from are labelled by ``reject``, a regular expression of words; all others are
-accepted. Counts are gathered from every URL and grow with them, up to a bound: characters fall
-into 64 symbols and long contexts into 2 ** 14 slots, so a model has at most ``SLOTS`` counts,
-some 19 MB, which is what is broadcast.
+accepted. Counts are gathered from every URL and keyed by the exact context, so they grow with the
+URLs: characters fall into 64 symbols, a gram is a symbol after four others, and the table of gram
+counts stays in Spark. Contexts of up to two characters have 64 ** 3 cells at most, which are also
+kept as arrays; those of three and four are counted by windows over the grams that share their
+last three characters (64 ** 2 at most). The gain of each distinct gram is joined to the grams of
+the distinct URLs; gains are summed in units of 2 ** -36, so their order changes nothing.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; an empty URL has
 score 0 and is allowed. Without rejected URLs nothing is blocked by the models. Extra columns stay.
@@ -23,18 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, ByteType, LongType, StructField, StructType
 
-from tidelog.llm.arrays import U64, Texts, slices
-from tidelog.llm.kit import add_columns, free_name, map_parts
+from tidelog.llm.arrays import Texts, slices
+from tidelog.llm.kit import add_columns, cut, free_name, map_parts, row_lists
 from tidelog.plans.shipping import map_batches
 
 ORDERS = 5
-WIDTHS = [1, 64, 1 << 12, 1 << 14, 1 << 14]
+# The orders kept as arrays, and their cells.
+WIDTHS = [1, 64, 1 << 12]
 STARTS = np.concatenate(([0], np.cumsum(np.array(WIDTHS) * 64)))
 SLOTS = int(STARTS[-1])
+UNITS = 2.0**36
 BINS, LOW, HIGH = 800, -4.0, 4.0
 MAX_FALSE = 0.001
 
@@ -69,24 +74,33 @@ def symbol_table() -> np.ndarray:
     return out
 
 
-def places(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each order and character its slot, context first; and the characters' text numbers."""
+def contexts(texts: Texts) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order and character its context, the last character first; the symbols; the characters' text numbers."""
     symbols = symbol_table()[texts.data]
     owner = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
     since = np.arange(len(symbols)) - texts.offsets[owner]
-    out, context = np.empty((ORDERS, len(symbols)), np.int64), np.zeros(len(symbols), np.int64)
-    for k in range(ORDERS):
-        if k:
-            earlier = np.where(since >= k, np.concatenate((np.zeros(k, np.int64), symbols[:-k])) if len(symbols) >= k else 0, 0)
-            context = context * 64 + earlier
-        slot = context if k < 3 else ((context.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(50)).astype(np.int64)
-        out[k] = STARTS[k] + slot * 64 + symbols
-    return out, owner
+    out = [np.zeros(len(symbols), np.int64)]
+    for k in range(1, ORDERS):
+        earlier = np.where(since >= k, np.concatenate((np.zeros(k, np.int64), symbols[:-k])) if len(symbols) >= k else 0, 0)
+        out.append(out[-1] * 64 + earlier)
+    return out, symbols, owner
+
+
+def places(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """For each order kept as an array and each character its slot, context first; and the characters' text numbers."""
+    found, symbols, owner = contexts(texts)
+    return np.stack([STARTS[k] + found[k] * 64 + symbols for k in range(len(WIDTHS))]), owner
+
+
+def grams(texts: Texts) -> np.ndarray:
+    """Each character after its four, as 30 bits."""
+    found, symbols, _ = contexts(texts)
+    return found[-1] * 64 + symbols
 
 
 @dataclass
 class Markov:
-    """Counts of characters after contexts, by slot."""
+    """Counts of characters after contexts of up to two, by slot."""
 
     counts: np.ndarray
 
@@ -94,20 +108,37 @@ class Markov:
         by_context = self.counts.reshape(-1, 64)
         self.total, self.kinds = by_context.sum(axis=1), (by_context > 0).sum(axis=1)
 
-    def log_probability(self, slots: np.ndarray) -> np.ndarray:
+    def probability(self, slots: np.ndarray) -> np.ndarray:
         p = np.full(slots.shape[1], 1 / 64)
-        for k in range(ORDERS):
+        for k in range(len(WIDTHS)):
             context = slots[k] >> 6
-            total, kinds = self.total[context], self.kinds[context]
-            seen = total > 0
-            p = np.where(seen, (self.counts[slots[k]] + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.log(p)
+            p = smoothed(self.counts[slots[k]], self.total[context], self.kinds[context], p)
+        return p
+
+    def log_probability(self, slots: np.ndarray) -> np.ndarray:
+        return np.log(self.probability(slots))
+
+
+def smoothed(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Witten-Bell: the counts after a context mixed with ``p``, that after the shorter one."""
+    return np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
+
+
+def short_probabilities(by_two: np.ndarray) -> np.ndarray:
+    """The probability of each symbol after each two characters, from its counts."""
+    cube = by_two.reshape(64, 64, 64)
+    model = Markov(np.concatenate((cube.sum(axis=(0, 1)), cube.sum(axis=1).ravel(), by_two)))
+    cell = np.arange(64**3)
+    symbol = cell & 63
+    return model.probability(np.stack((symbol, STARTS[1] + (cell >> 12) * 64 + symbol, STARTS[2] + cell)))
 
 
 @dataclass
 class UrlModel:
-    accepted: Markov
-    rejected: Markov
+    """Counts of grams (g, n0 of accepted and n1 of rejected URLs), probabilities after two characters, threshold."""
+
+    counts: DataFrame
+    short: list[np.ndarray]
     threshold: float
 
 
@@ -116,57 +147,89 @@ def spelling(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", "")
 
 
-def scores(accepted: Markov, rejected: Markov, column: pa.Array) -> np.ndarray:
-    out = []
-    for texts in slices(column):
-        slots, owner = places(texts)
-        gain = accepted.log_probability(slots) - rejected.log_probability(slots)
-        out.append(np.bincount(owner, gain, len(texts)) / np.maximum(np.diff(texts.offsets), 1))
-    return np.concatenate(out) if out else np.zeros(0)
+def gains(model: UrlModel, wanted: DataFrame) -> DataFrame:
+    """(g, gain): log-ratio of the two models for each gram counted or ``wanted``, in units."""
+    zero = F.lit(0).cast("long")
+    rows = model.counts.unionByName(wanted.select("g", zero.alias("n0"), zero.alias("n1"))).groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = rows.select("g", F.shiftright("g", 12).alias("c3"), F.shiftright("g", 6).alias("c4"), F.col("g").bitwiseAND(63).alias("sym"), "n0", "n1")
+    by_3, by_gram, by_4 = Window.partitionBy("c3"), Window.partitionBy("c3", "sym"), Window.partitionBy("c3", "c4")
+    numbers = []
+    for n in ("n0", "n1"):
+        some = F.when(F.col(n) > 0, F.col("sym"))
+        numbers += [F.sum(n).over(by_gram), F.sum(n).over(by_3), F.size(F.collect_set(some).over(by_3)).cast("long"), F.col(n), F.sum(n).over(by_4), F.count(some).over(by_4)]
+    rows = rows.select("g", *(x.alias(f"x{i}") for i, x in enumerate(numbers)))
+    shared = wanted.sparkSession.sparkContext.broadcast(model.short)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        g, *x = (batch.column(i).to_numpy() for i in range(13))
+        cell, logs = (g >> 18) * 64 + (g & 63), []
+        for k in (0, 1):
+            p = smoothed(*x[6 * k : 6 * k + 3], shared.value[k][cell])
+            logs.append(np.log(smoothed(*x[6 * k + 3 : 6 * k + 6], p)))
+        return [pa.array(np.rint((logs[0] - logs[1]) * UNITS).astype(np.int64))]
+
+    return cut(add_columns(rows, [StructField("gain", LongType())], make, ["g"]), "url_gains")
+
+
+def scores(texts: DataFrame, model: UrlModel) -> DataFrame:
+    """(spelt, score) of the distinct, not empty strings ``spelt``."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [(np.diff(t.offsets), grams(t)) for t in slices(batch.column(0))]
+        counts, values = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        return [row_lists(counts, pa.array(values))]
+
+    each = add_columns(texts, [StructField("g", ArrayType(LongType()))], make).select("spelt", F.explode("g").alias("g"))
+    table = gains(model, each.select("g").distinct())
+    return each.join(table, "g").groupBy("spelt").agg((F.sum("gain") / F.count("*") / UNITS).alias("score"))
 
 
 def fit(urls: DataFrame, url_col: str = "url", reject: str = REJECT, max_false: float = MAX_FALSE) -> UrlModel:
     """Models and threshold from all URLs."""
     rows = urls.select(spelling(F.col(url_col)).alias("s"), F.lower(F.coalesce(F.col(url_col), F.lit(""))).rlike(reject).alias("bad")).where(F.length("s") > 0)
-    schema = StructType([StructField("bad", ByteType()), StructField("slot", LongType()), StructField("n", LongType())])
+    schema = StructType([StructField("bad", ByteType()), StructField("g", LongType()), StructField("n", LongType())])
 
     def count(batches):
         for batch in map_parts(batches):
             bad = np.array(batch.column(1).to_numpy(zero_copy_only=False), bool)
             for kind in (0, 1):
                 own = batch.column(0).filter(pa.array(bad == kind))
-                found = [places(t)[0].ravel() for t in slices(own)]
+                found = [grams(t) for t in slices(own)]
                 if found:
-                    slot, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind, np.int8)), pa.array(slot), pa.array(n.astype(np.int64))], names=schema.names)
-
-    gathered = map_batches(rows, count, schema).groupBy("bad", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((2, SLOTS), np.float32)
-    counts[gathered["bad"].to_numpy(), gathered["slot"].to_numpy()] = gathered["n"].to_numpy()
-    accepted, rejected = Markov(counts[0]), Markov(counts[1])
-    if not counts[1].any() or not counts[0].any():
-        return UrlModel(accepted, rejected, -np.inf)
-    shared = urls.sparkSession.sparkContext.broadcast((accepted, rejected))
-    scored = add_columns(rows, [StructField("score", DoubleType())], lambda b: [pa.array(scores(*shared.value, b.column(0)))], ["bad"])
+                    g, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), kind, np.int8)), pa.array(g), pa.array(n.astype(np.int64))], names=schema.names)
+
+    of = lambda kind: F.sum(F.when(F.col("bad") == kind, F.col("n")).otherwise(0)).alias(f"n{kind}")
+    counts = cut(map_batches(rows, count, schema).groupBy("g").agg(of(0), of(1)), "url_counts")
+    cell = (F.shiftright("g", 18) * 64 + F.col("g").bitwiseAND(63)).alias("cell")
+    gathered = counts.groupBy(cell).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    by_two = np.zeros((2, 64**3))
+    for kind in (0, 1):
+        by_two[kind, gathered["cell"].to_numpy()] = gathered[f"n{kind}"].to_numpy()
+    model = UrlModel(counts, [short_probabilities(x) for x in by_two], -np.inf)
+    if not by_two[1].any() or not by_two[0].any():
+        return model
+    known = rows.groupBy("s", "bad").agg(F.count("*").alias("n")).withColumnRenamed("s", "spelt")
+    scored = known.join(scores(rows.select(F.col("s").alias("spelt")).distinct(), model), "spelt")
     place = F.greatest(F.least(F.floor((F.col("score") - LOW) / (HIGH - LOW) * BINS), F.lit(BINS - 1)), F.lit(0))
     spread = np.zeros((2, BINS), np.int64)
-    for bad, k, n in scored.groupBy("bad", place.alias("k")).agg(F.count("*").alias("n")).collect():
+    for bad, k, n in scored.groupBy("bad", place.alias("k")).agg(F.sum("n").alias("n")).collect():
         spread[int(bad), k] = n
     blocked = np.concatenate(([0], np.cumsum(spread[0])))
     caught = np.concatenate(([0], np.cumsum(spread[1])))
     allowed = blocked <= max_false * max(blocked[-1], 1)
     # Of thresholds that catch as many, the lowest.
     best = int(np.argmax(np.where(allowed, caught, -1)))
-    return UrlModel(accepted, rejected, LOW + best * (HIGH - LOW) / BINS)
+    return UrlModel(counts, model.short, LOW + best * (HIGH - LOW) / BINS)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, score and verdict."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
     h, p, r, s, v, text = (free_name(pages, x) for x in ("host", "path", "rule", "score", "verdict", "spelling"))
     rows = pages.withColumn(text, spelling(F.col(url_col)))
-    at = len(pages.columns)
-    scored = add_columns(rows, [StructField(s, DoubleType())], lambda b: [pa.array(scores(shared.value.accepted, shared.value.rejected, b.column(at)))], pages.columns)
+    spelt, found = free_name(rows, "spelt"), free_name(rows, "found")
+    own = scores(rows.select(F.col(text).alias("spelt")).where(F.length("spelt") > 0).distinct(), model).select(F.col("spelt").alias(spelt), F.col("score").alias(found))
+    scored = rows.join(own, F.col(text) == F.col(spelt), "left").select(*pages.columns, F.coalesce(found, F.lit(0.0)).alias(s))
     out = scored.withColumns({h: host(F.col(url_col)), p: path(F.col(url_col))})
     out = out.withColumn(r, rule_of(F.col(h), F.col(p), rules))
     by_rule = F.create_map(*(F.lit(x) for a, b, verdict in rules for x in (a + b, verdict))) if rules else F.lit(None)
