@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import struct
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidelog.llm import chat, decontam, langid, near_dedup, pii, quality, template, url_filter, warc
+from tidelog.llm import chat, components, decontam, langid, near_dedup, pii, quality, template, url_filter, warc
 from tidelog.llm.arrays import slices
 from tidelog.llm.bpe import Bpe
 from tidelog.llm.queries import QUERIES
@@ -46,6 +47,25 @@ def test_bpe_query_agrees_with_the_library(spark, small, texts, both):
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("text", ["".join(chr(0x4E00 + i * 7919 % 20000) for i in range(200_000)), "漢字、" * 60_000, "x" * 200_000, "é" * 100_000, "ab1" * 60_000])
+def test_bpe_agrees_on_long_texts_without_white_space(both, text):
+    library, own = both
+    assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, (own.chunk, own.word, own.fragment))) < 400_000 and all(len(k) <= 64 for k in own.chunk)
+
+
+def test_tokenizer_files_that_ask_for_other_steps_are_refused(both):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="end-of-word"):
+        Bpe(f.read())
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for place, value in (("normalizer", None), ("decoder", {"type": "BPEDecoder", "suffix": "</w>"}), ("pre_tokenizer", {"type": "Whitespace"})):
+        with pytest.raises(ValueError, match=place):
+            Bpe(json.dumps(spec | {place: value}))
+    with pytest.raises(ValueError, match="dropout"):
+        Bpe(json.dumps(spec | {"model": spec["model"] | {"dropout": 0.1}}))
+
+
 PIECES = ["a", "the", "'s", " ", "\n", "Σ", "ς", "İ", "e\u0301", "中", "😀", "5", "½", "<|endoftext|>", "<|end", "!!", "\x1c", "\x85", "\xa0", "ß", "\x00", "ab" * 60]
 
 
@@ -105,9 +125,9 @@ def test_near_duplicate_classes(spark, small, texts):
 
 def test_a_group_with_few_strangers_is_dealt_out_once(spark):
     comps = {i: 1 if i < 3000 else i for i in range(3003)}
-    rows = [(key, i, c, b"\0" * 64) for key in (7, 9) for i, c in comps.items() if key == 7 or i < 4]
-    rows += [(11, 3000, 3000, b""), (11, 3001, 3001, b"")]
-    dealt, _ = near_dedup.deal(spark.createDataFrame(rows, "key bigint, id bigint, comp bigint, sketch binary"))
+    rows = [(key, i, 0, 100, c, b"\0" * 64) for key in (7, 9) for i, c in comps.items() if key == 7 or i < 4]
+    rows += [(11, 3000, 0, 100, 3000, b""), (11, 3001, 0, 100, 3001, b"")]
+    dealt, _ = near_dedup.deal(spark.createDataFrame(rows, "key bigint, id bigint, tid bigint, size bigint, comp bigint, sketch binary"))
     got = dealt.drop("sketch").collect()
     # The group once, and each stranger for each of the group's six blocks and its own.
     assert sum(r["key"] == 7 for r in got) == 3000 + 3 * 7
@@ -118,6 +138,47 @@ def test_a_group_with_few_strangers_is_dealt_out_once(spark):
     met = {(k, *sorted((i, j))) for (k, low, high), own in groups.items() for i, a in own if a == low for j, b in own if b == high and i != j}
     assert met >= {(7, i, j) for j in (3000, 3001, 3002) for i in range(j) if comps[i] != comps[j]} | {(11, 3000, 3001)}
     assert not any(k == 7 and j < 3000 for k, _, j in met)
+    # Of long texts fewer fit in a block.
+    long = [(7, i, 0, near_dedup.BLOCK_BYTES, 0 if i < 6 else i, b"") for i in range(8)]
+    dealt, _ = near_dedup.deal(spark.createDataFrame(long, "key bigint, id bigint, tid bigint, size bigint, comp bigint, sketch binary"))
+    assert dealt.select("block").distinct().count() > 2
+
+
+def test_a_large_bucket_is_dealt_out_with_its_heads(spark):
+    n = 5 * near_dedup.SPLIT
+    met = spark.createDataFrame([(1, n, i, 0, 1, b"") for i in range(n)] + [(2, 3, i, 0, 1, b"") for i in range(3)], "key bigint, n bigint, id bigint, tid bigint, size bigint, sketch binary")
+    groups = collections.defaultdict(lambda: ([], []))
+    for r in near_dedup.split(met).collect():
+        groups[r["key"], r["salt"]][r["head"]].append(r["id"])
+    assert len(groups) == 6 and sorted(groups[2, 0][0]) == [0, 1, 2] and groups[2, 0][1] == []
+    parts = [groups[1, k] for k in range(5)]
+    assert sorted(i for rows, _ in parts for i in rows) == list(range(n)) and all(sorted(heads) == list(range(near_dedup.FIRST)) for _, heads in parts)
+
+
+def test_each_text_of_an_id_meets_its_own_partners(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    edited = lambda k: words(k).replace(f"w{k}x7 ", "changed ")
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, edited(1)), (3, edited(2)), (4, words(4)), (5, words(4)), (6, words(6))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted(tuple(r)[::2] for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)]
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch, seed):
+    ids = [0, *range(999, 0, -1)]
+    if seed:
+        random.Random(seed).shuffle(ids)
+    rounds, to_roots = [], components._to_roots
+    monkeypatch.setattr(components, "_to_roots", lambda hooks: rounds.append(1) or to_roots(hooks))
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    got = {r["id"]: r["comp"] for r in components.components(links).collect()}
+    assert got == dict.fromkeys(range(1000), 0) and len(rounds) < 12
+
+
+def test_components_of_odd_links(spark):
+    links = spark.createDataFrame([(5, 5), (3, 4), (4, 3), (None, 3), (9, 8), (7, None)], "a bigint, b bigint")
+    assert sorted(map(tuple, components.components(links).collect())) == [(3, 3), (4, 3), (8, 8), (9, 8)]
+    assert components.components(links.limit(0)).count() == 0
 
 
 def test_a_large_group_of_edited_copies_holds_together(spark):

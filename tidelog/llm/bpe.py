@@ -3,14 +3,18 @@
 A word's bytes are its first symbols, the last one marked as a word's end. Two neighbouring
 symbols that stand side by side inside no token of the vocabulary can't end up in one token, so
 the word is cut there before any merge. The fragments are encoded by themselves and put together
-again; most are short and few are different, so each task keeps those it has met.
+again; most are short and few are different, so each task keeps those it has met of late, up to
+a number of bytes; words of more than SHORT characters are never kept.
 
 Within a fragment, the pair of lowest rank is merged first, the leftmost of several; fragments
-of many symbols use a heap, so a long run of letters costs n log n.
+of many symbols use a heap, so a long run of letters costs n log n, and a word with cuts as many
+steps as it has bytes.
 
 Before that, special tokens are cut out of the raw text; the rest is composed (NFC), lower-cased
 character by character and split into words by the file's pattern. Decoding joins the tokens by
-a space, as is done where the file names no decoder.
+a space, as is done where the file names no decoder. Files that ask for other steps (another
+normaliser, byte-level words without ends, a decoder, dropout or byte fallback) are refused with
+a ValueError that names the step.
 
 Defined results: null or empty text has no ids and decodes to an empty text. Extra columns stay.
 Nothing is shuffled and each row's result depends on its text alone.
@@ -31,7 +35,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
 from tidelog.llm.kit import add_columns, free_name, row_lists
 
-KEPT = 100_000
+KEPT_BYTES = 24_000_000
+SHORT = 64
 LONG = 48
 SIDE = 1 << 32
 
@@ -47,30 +52,72 @@ def byte_letters() -> list[str]:
 
 
 class Recent(dict):
-    """What ``make`` returned for the keys met of late: two generations of at most ``kept`` each."""
+    """What ``make`` returned for the keys met of late: two generations of about ``kept_bytes`` each.
 
-    def __init__(self, make, kept: int = KEPT) -> None:
+    Keys longer than SHORT are made anew each time.
+    """
+
+    def __init__(self, make, kept_bytes: int = KEPT_BYTES, length=len) -> None:
         super().__init__()
-        self.make, self.kept, self.older = make, kept, {}
+        self.make, self.kept_bytes, self.room, self.length, self.older = make, kept_bytes, kept_bytes, length, {}
 
     def __missing__(self, key):
+        n = self.length(key)
+        if n > SHORT:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.kept:
+        # A key, a tuple and their place in the table, about.
+        self.room -= 250 + 2 * n + 8 * len(value)
+        if self.room < 0:
             self.older = dict(self)
             self.clear()
+            self.room = self.kept_bytes
         self[key] = value
         return value
 
 
+def _shape(part: object) -> object:
+    """A step of a tokenizer file without what doesn't change ids: its types and settings."""
+    if isinstance(part, list):
+        return [_shape(x) for x in part]
+    if isinstance(part, dict):
+        return {k: _shape(v) for k, v in part.items() if k not in ("trim_offsets", "pattern", "content")}
+    return part
+
+
+# The steps this module takes, as tokenizer files write them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace"}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}
+PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_file(spec: dict) -> None:
+    """Raise a ValueError unless the tokenizer file asks for just the steps that this module takes."""
+    model = spec["model"]
+    if model.get("type") != "BPE" or not model.get("end_of_word_suffix"):
+        raise ValueError("the tokenizer's model must be BPE with an end-of-word suffix")
+    if odd := [k for k, v in PLAIN.items() if model.get(k, v) != v]:
+        raise ValueError(f"the tokenizer's model sets {', '.join(odd)}")
+    for name, wanted in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("post_processor", None), ("decoder", None)):
+        if _shape(spec.get(name)) != wanted:
+            raise ValueError(f"the tokenizer's {name} isn't the one this module follows")
+    replace = spec["normalizer"]["normalizers"][1]
+    if replace["pattern"] != {"Regex": r"\s+"} or replace["content"] != " ":
+        raise ValueError("the tokenizer's normalizer replaces other things than white space")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("the tokenizer's added tokens are matched in another way")
+
+
 class Bpe:
     """The tokenizer of a JSON file's text."""
 
     def __init__(self, source: str) -> None:
         spec = json.loads(source)
+        check_file(spec)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
+        self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -88,11 +135,12 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.by_letters = r"|[\p{L}]+|" in pattern and pattern.endswith(r"|[^\s\p{L}\p{N}]+")
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.space = regex.compile(f"[{SPACE}]+").split
+        self.marks = {t[0] for t in self.special}
         self.chunk = Recent(self._chunk)
         self.word = Recent(self._word)
-        self.fragment = Recent(self._fragment, KEPT // 10)
+        self.fragment = Recent(self._fragment, KEPT_BYTES // 10, lambda key: len(key[0]))
 
     def _pairs_inside(self, letters: list[str]) -> bytearray:
         """1 at first * 512 + second for neighbours inside a token; a word's last byte counts from 256."""
@@ -118,7 +166,7 @@ class Bpe:
 
     def _word(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
-        inside, start, last, ids = self.inside, 0, len(raw) - 1, ()
+        inside, start, last, ids = self.inside, 0, len(raw) - 1, []
         before = raw[0] << 9
         for i in range(1, last):
             if not inside[before + raw[i]]:
@@ -128,18 +176,25 @@ class Bpe:
         if last > 0 and not inside[before + raw[last] + 256]:
             ids += self.fragment[raw[start:last], False]
             start = last
-        return ids + self.fragment[raw[start:], True] if start else self._fragment((raw, True))
+        ids += self.fragment[raw[start:], True] if start else self._fragment((raw, True))
+        return tuple(ids)
 
     def _fragment(self, key: tuple[bytes, bool]) -> tuple[int, ...]:
         raw, ends = key
         symbols = [self.symbols[b] for b in raw]
         if ends:
             symbols[-1] = self.last_symbols[raw[-1]]
+        if None not in symbols:
+            return tuple(self._merged(symbols))
         # A byte that the vocabulary lacks has no token and joins nothing.
-        if None in symbols:
-            k = symbols.index(None)
-            return (self._fragment((raw[:k], False)) if k else ()) + (self._fragment((raw[k + 1 :], ends)) if k + 1 < len(raw) else ())
-        return tuple(self._merge_long(symbols) if len(symbols) > LONG else self._merge(symbols))
+        ids, start = [], 0
+        for k in [*(i for i, x in enumerate(symbols) if x is None), len(symbols)]:
+            ids += self._merged(symbols[start:k])
+            start = k + 1
+        return tuple(ids)
+
+    def _merged(self, symbols: list[int]) -> list[int]:
+        return self._merge_long(symbols) if len(symbols) > LONG else self._merge(symbols)
 
     def _merge(self, symbols: list[int]) -> list[int]:
         rank, last = self.ranks.get, len(self.becomes)
@@ -175,7 +230,7 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        for part in self.cut(text) if "<" in text or not self.special else (text,):
+        for part in self.cut(text) if any(m in text for m in self.marks) else (text,):
             if part in self.special:
                 ids.append(self.special[part])
                 continue

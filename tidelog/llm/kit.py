@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidelog.plans.shipping import map_batches, shared_path
@@ -36,6 +37,11 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it if ``df`` has such a column (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -13,19 +13,22 @@ first. Arrivals of many documents are drawn at once in numpy.
 
 Banding: documents that agree in the four registers of any of 16 bands meet in a bucket (a pair
 at 0.8 is missed once in 4500 times). Within a bucket a sketch, two bits of each of 256 registers,
-estimates the similarity to 0.03; pairs below ``floor`` go no further.
+estimates the similarity to 0.03; pairs below FLOOR go no further. Band keys are counted before
+they are shuffled; only rows whose key another row has go on.
 
 Verification, on whole texts: first each document with the one that looks most similar among the
-first few of its buckets, which is linear in the rows and joins most groups. What remains are pairs
+first few of its buckets, which is linear in the rows and joins most groups. A bucket of more than
+SPLIT rows is dealt out to several tasks, and its first few rows go to each of them. What remains are pairs
 of a bucket that the verified links haven't connected yet. Those are compared in blocks of bounded
-size, by sketch and then by text, so that no link between two groups is lost however large a bucket
+rows and bytes, by sketch and then by text, so that no link between two groups is lost however large a bucket
 is; only links leave a block. A pair is looked at in the first bucket that both are in. Texts with
 equal weights within one task are joined at once and only one goes on.
 
 A group is a connected component of verified links; its class is its smallest id.
 
 Defined results: null ids, and texts without words, are in no group: their class is their id.
-Rows that share an id are one document, similar to what any of its texts is. Extra columns stay.
+Rows that share an id are one document, similar to what any of its texts is; repeated rows are one
+row. Extra columns stay, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from tidelog.llm.arrays import U64, Texts, byte_class, gram_hashes, mix, runs, slices, span_hashes
 from tidelog.llm.components import components
-from tidelog.llm.kit import cut, discard, free_name, map_parts
+from tidelog.llm.kit import cut, discard, free_name, map_parts, named, row_lists
 from tidelog.plans.shipping import map_batches
 
 WORDS = 5
@@ -49,7 +52,10 @@ FLOOR = 0.70
 BANDS, ROWS = 16, 4
 REGISTERS = 256
 FIRST = 64
+SPLIT = 512
 BLOCK = 512
+BLOCK_BYTES = 8_000_000
+MET = 200_000
 BROADCAST_IDS = 2_000_000
 
 
@@ -147,7 +153,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return round(float((1 / (above / x + below / y)).sum()), 12)
 
 
-SIGNED = StructType([StructField("key", LongType()), StructField("id", LongType()), StructField("same", LongType()), StructField("sketch", BinaryType())])
+SIGNED = StructType([
+    StructField("id", LongType()), StructField("tid", LongType()), StructField("same", LongType()), StructField("size", LongType()),
+    StructField("keys", ArrayType(LongType())), StructField("sketch", BinaryType()),
+])
 PAIRS = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("estimate", DoubleType())])
 
 
@@ -157,35 +166,43 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, null, sketch) for each band; or (null, id, same, null) for a copy of the document ``same``."""
+    """A row SIGNED for each (id, tid, text) with words: its band keys and sketch, or ``same``, a document of the same weights."""
     met: dict[tuple[int, int], int] = {}
     for batch in map_parts(batches):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for texts in slices(batch.column(1)):
+        ids, tids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for texts in slices(batch.column(2)):
             text, value, weight = weighted_shingles(texts)
             at = np.searchsorted(text, np.arange(len(texts) + 1))
             prints = [np.zeros(len(texts), U64), np.zeros(len(texts), U64)]
             for k, p in enumerate(prints):
                 np.add.at(p, text, mix(value * U64(2 * k + 3) + weight.view(U64)))
+            if len(met) > MET:
+                met.clear()
             fresh, copies, first = [], [], []
             for i, both in enumerate(zip(prints[0].tolist(), prints[1].tolist(), strict=True)):
                 if at[i] == at[i + 1]:
                     continue
                 own = int(ids[texts.first + i])
-                seen = met.setdefault(both, own)
-                (fresh.append(i) if seen == own else (copies.append(own), first.append(seen)))
+                if both not in met:
+                    met[both] = own
+                    fresh.append(i)
+                elif met[both] != own:
+                    copies.append(i)
+                    first.append(met[both])
+            sizes = np.diff(texts.offsets)
             if fresh:
                 fresh = np.array(fresh)
                 number = np.full(len(texts), -1)
                 number[fresh] = np.arange(len(fresh))
                 wanted = number[text] >= 0
                 signature = signatures(number[text[wanted]], value[wanted], weight[wanted], len(fresh))
-                keys = band_keys(signature).ravel().view(np.int64)
-                own = np.repeat(ids[texts.first + fresh], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.nulls(len(own), pa.int64()), _binary(np.repeat(sketches(signature), BANDS, axis=0))], names=SIGNED.names)
+                keys = row_lists(np.full(len(fresh), BANDS), pa.array(band_keys(signature).ravel().view(np.int64)))
+                own = [pa.array(x) for x in (ids[texts.first + fresh], tids[texts.first + fresh])]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(fresh), pa.int64()), pa.array(sizes[fresh], pa.int64()), keys, _binary(sketches(signature))], names=SIGNED.names)
             if copies:
-                none = pa.nulls(len(copies), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(copies, pa.int64()), pa.array(first, pa.int64()), pa.nulls(len(copies), pa.binary())], names=SIGNED.names)
+                own = [pa.array(x[texts.first + np.array(copies)]) for x in (ids, tids)]
+                none = [pa.nulls(len(copies), pa.list_(pa.int64())), pa.nulls(len(copies), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(first, pa.int64()), pa.array(sizes[copies], pa.int64()), *none], names=SIGNED.names)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
@@ -221,52 +238,28 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool
 
 
 def _most_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id, sketch) sorted by key and id: each with the most similar of its bucket's first rows."""
+    """Of rows (key, salt, id, sketch) sorted by key and salt: each with the most similar of its group's first rows that has a smaller id."""
     heads, head_ids = np.zeros((0, 8), U64), np.zeros(0, np.int64)
-    for goes_on, (_, ids, rows) in _groups(batches, 1):
+    for goes_on, (_, _, ids, rows) in _groups(batches, 2):
         if not goes_on:
             heads, head_ids = rows[:0], ids[:0]
-        before = len(heads)
-        room = FIRST - before
+        room = FIRST - len(heads)
         if room > 0:
             heads, head_ids = np.concatenate((heads, rows[:room])), np.concatenate((head_ids, ids[:room]))
         if len(heads) < 2:
             continue
         for at in range(0, len(ids), BLOCK):
+            own = ids[at : at + BLOCK]
             part = estimates(rows[at : at + BLOCK], heads)
-            place = before + at + np.arange(len(part))
-            part[np.arange(len(heads))[None, :] >= place[:, None]] = -1
+            part[head_ids[None, :] >= own[:, None]] = -1
             best = part.argmax(axis=1)
             found = part[np.arange(len(part)), best]
-            good = (found >= FLOOR) & (head_ids[best] != ids[at : at + BLOCK])
+            good = found >= FLOOR
             if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(head_ids[best[good]]), pa.array(ids[at : at + BLOCK][good]), pa.array(found[good])], names=PAIRS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(head_ids[best[good]]), pa.array(own[good]), pa.array(found[good])], names=PAIRS.names)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key another row has, and those without a key (copies)."""
-    waiting, before = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if waiting is None else [waiting, batch])
-        key = table.column(0).to_pandas(integer_object_nulls=True).to_numpy()
-        keep = np.array([k is None for k in key])
-        same = key[1:] == key[:-1]
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= key[0] is not None and key[0] == before
-        # The last row waits for the batch that follows.
-        yield from table.slice(0, len(key) - 1).filter(pa.array(keep[:-1], pa.bool_())).combine_chunks().to_batches()
-        waiting = table.slice(len(key) - 1).combine_chunks().to_batches()[0]
-        before = key[-2] if len(key) > 1 else before
-    if waiting is not None:
-        key = waiting.column(0)[0].as_py()
-        if key is None or key == before:
-            yield waiting
-
-
-MIXED = ["key", "low", "high", "block", "id", "comp", "keys", "sketch"]
+MIXED = ["key", "low", "high", "block", "id", "tid", "comp", "keys", "sketch"]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
@@ -276,7 +269,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
     """
 
     def pairs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        key, low, high, block, ids, comp, keys, rows = columns[:8]
+        key, low, high, block, ids, _, comp, keys, rows = columns[:9]
         left, right = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for at in range(0, len(left), 256):
@@ -303,10 +296,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, low, high, id) of groups that are in any of their pairs."""
+    """The rows (key, low, high, id, tid) of groups that are in any of their pairs."""
     for columns, i, j, _ in _blocks(batches):
         rows = np.union1d(i, j)
-        yield pa.RecordBatch.from_arrays([pa.array(columns[k][rows]) for k in (0, 1, 2, 4)], names=["key", "low", "high", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[k][rows]) for k in (0, 1, 2, 4, 5)], names=["key", "low", "high", "id", "tid"])
 
 
 def _linked(threshold: float):
@@ -314,7 +307,7 @@ def _linked(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, i, j, looks in _blocks(batches):
-            ids, comp, texts = columns[4], columns[5].tolist(), columns[8]
+            ids, comp, texts = columns[4], columns[6].tolist(), columns[9]
             root = {c: c for c in comp}
 
             def find(c: int, root=root) -> int:
@@ -379,22 +372,36 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
+def split(met: DataFrame) -> DataFrame:
+    """Rows (key, salt, head, id, sketch) of buckets met (key, n, id, tid, sketch): a bucket of more than SPLIT rows in several salts, each with its FIRST rows as heads."""
+    salts = F.ceil(F.col("n") / F.lit(SPLIT)).cast("long")
+    salt = F.when(F.col("n") > SPLIT, F.pmod(F.xxhash64("id", "tid"), salts)).otherwise(F.lit(0).cast("long"))
+    rows = met.select("key", salt.alias("salt"), F.lit(False).alias("head"), "id", "sketch")
+    # Spark keeps no more than FIRST rows of a key in each task before it shuffles them.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("id", "tid"))
+    heads = met.where(F.col("n") > SPLIT).withColumn("nth", nth).where(F.col("nth") <= FIRST)
+    heads = heads.select("key", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(True).alias("head"), "id", "sketch")
+    return rows.unionByName(heads)
+
+
 def deal(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The rows (key, id, comp, sketch) of buckets that hold several components, dealt out as MIXED; and the tables it wrote on the way.
+    """The rows (key, id, tid, size, comp, sketch) of buckets that hold several components, dealt out as MIXED; and the tables it wrote on the way.
 
     The rows of a bucket's largest component never meet each other: they go once to each block of
     the other rows, and these go to all blocks. A huge group with a few strangers in its bucket so
-    makes about as many rows as it has.
+    makes about as many rows as it has. A block holds about BLOCK rows and BLOCK_BYTES of text.
     """
     several = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     several = cut(several.select("key"), "mixed")
     rest = labelled.join(small(several), "key")
-    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    sizes = cut(sizes.select("key", "main", F.ceil(F.col("most") / BLOCK).alias("inner"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("outer")), "mixed")
-    keys = rest.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    dealt = rest.join(small(sizes), "key").join(keys, "id")
-    in_main, spread = F.col("comp") == F.col("main"), F.xxhash64("id")
+    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sizes = sizes.groupBy("key").agg(F.max_by(F.struct("comp", "n", "bytes"), F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("long")
+    inner, outer = blocks(F.col("main.n"), F.col("main.bytes")), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
+    sizes = cut(sizes.select("key", F.col("main.comp").alias("main"), inner.alias("inner"), outer.alias("outer")), "mixed")
+    keys = rest.groupBy("id", "tid").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    dealt = rest.join(small(sizes), "key").join(keys, ["id", "tid"])
+    in_main, spread = F.col("comp") == F.col("main"), F.xxhash64("id", "tid")
     dealt = dealt.withColumn("block", F.when(in_main, F.pmod(spread, "inner")).otherwise(F.col("inner") + F.pmod(spread, "outer")))
     others = F.sequence(F.when(in_main, F.col("inner")).otherwise(F.lit(0).cast("long")), F.col("inner") + F.col("outer") - 1)
     dealt = dealt.withColumn("other", F.explode(others))
@@ -404,33 +411,38 @@ def deal(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def near_links(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) whose components are the groups of near-duplicates."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = map_batches(rows, _sign, SIGNED).repartition("key").sortWithinPartitions("key", "id")
-    signed = cut(map_batches(signed, _shared, SIGNED), "bands")
-    copies = signed.where(F.col("same").isNotNull()).select(F.least("id", "same").alias("a"), F.greatest("id", "same").alias("b"))
-    met = signed.where(F.col("key").isNotNull()).select("key", "id", "sketch")
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("id", F.xxhash64("text").alias("tid"), "text")
+    signed = cut(map_batches(rows, _sign, SIGNED), "signed")
+    copies = signed.where("same IS NOT NULL").select(F.least("id", "same").alias("a"), F.greatest("id", "same").alias("b"))
+    banded = signed.where("same IS NULL").select(F.explode("keys").alias("key"), "id", "tid", "size", "sketch")
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared_keys")
+    met = cut(banded.join(small(shared), "key").select("key", "n", "id", "tid", "size", "sketch"), "bands")
     texts = cut(rows.join(small(cut(met.select("id").distinct(), "met_ids")), "id", "left_semi"), "met_texts")
 
-    first = map_batches(met.repartition("key").sortWithinPartitions("key", "id"), _most_similar, PAIRS)
+    first = split(met).repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("head"), "id").drop("head")
+    first = map_batches(first, _most_similar, PAIRS)
     first = cut(first.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"), "first_pairs")
     links = cut(verified(first, texts, threshold).select("a", "b").unionByName(copies), "first_links")
 
     comps = components(links)
-    labelled = cut(met.join(small(comps), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch"), "labelled")
+    labelled = met.join(small(comps), "id", "left").select("key", "id", "tid", "size", F.coalesce("comp", "id").alias("comp"), "sketch")
+    labelled = cut(labelled, "labelled")
     dealt, mixed = deal(labelled)
-    place = ["key", "low", "high"]
-    in_pairs = map_batches(dealt.repartition(*place).sortWithinPartitions(*place, "id"), _involved, StructType([StructField(c, LongType()) for c in (*place, "id")]))
-    wanted = cut(dealt.join(in_pairs, [*place, "id"], "left_semi"), "wanted")
+    place, one = ["key", "low", "high"], ["key", "low", "high", "id", "tid"]
+    in_pairs = map_batches(dealt.repartition(*place).sortWithinPartitions(*one), _involved, StructType([StructField(c, LongType()) for c in one]))
+    wanted = cut(dealt.join(in_pairs, one, "left_semi").dropDuplicates(one), "wanted")
     needed = small(cut(wanted.select("id").distinct(), "wanted_ids"))
-    read = texts.join(needed, "id", "left_semi").join(wanted, "id").select(*MIXED, "text")
-    read = read.repartition(*place).sortWithinPartitions(*place, "id")
+    read = texts.join(needed, "id", "left_semi").join(wanted, ["id", "tid"]).select(*MIXED, "text")
+    read = read.repartition(*place).sortWithinPartitions(*one)
     more = cut(map_batches(read, _linked(threshold), StructType([StructField("a", LongType()), StructField("b", LongType())])), "rest_links")
-    discard(signed, texts, first, labelled, *mixed, dealt, wanted)
+    discard(signed, shared, met, texts, first, labelled, *mixed, dealt, wanted)
     return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with class_id, the smallest id of the document's group."""
-    classes = components(near_links(docs, id_col, text_col, threshold)).withColumnsRenamed({"id": "class_of", "comp": "class_min"})
-    joined = docs.join(classes, F.col(id_col) == F.col("class_of"), "left")
-    return joined.select(*(F.col(c) for c in docs.columns), F.coalesce("class_min", F.col(id_col)).alias(free_name(docs, "class_id")))
+    own, least = free_name(docs, "class_of"), free_name(docs, "class_min")
+    classes = components(near_links(docs, id_col, text_col, threshold)).withColumnsRenamed({"id": own, "comp": least})
+    joined = docs.join(classes, named(id_col) == F.col(own), "left")
+    return joined.select(*map(named, docs.columns), F.coalesce(least, named(id_col)).alias(free_name(docs, "class_id")))
