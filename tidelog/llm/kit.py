@@ -13,6 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from tidelog.plans.shipping import map_batches, shared_path
 
 PART_BYTES = 4_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +30,25 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def _files(df: DataFrame):
+    """The file system and path of a table made by ``cut``."""
+    jvm, path = df.sparkSession._jvm, df._tidelog_path
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table made by ``cut``, to be broadcast if it has few rows and bytes; else it is joined by a shuffle."""
+    system, at = _files(df)
+    few = system.getContentSummary(at).getLength() <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``cut`` from which nothing is read any more."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df._tidelog_path
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        system, at = _files(df)
+        system.delete(at, True)
 
 
 def named(name: str) -> Column:

@@ -43,7 +43,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Struc
 
 from tidelog.llm.arrays import U64, Texts, byte_class, gram_hashes, mix, runs, slices, span_hashes
 from tidelog.llm.components import components
-from tidelog.llm.kit import cut, discard, free_name, map_parts, named, row_lists
+from tidelog.llm.kit import cut, discard, free_name, map_parts, named, row_lists, small
 from tidelog.plans.shipping import map_batches
 
 WORDS = 5
@@ -56,7 +56,6 @@ SPLIT = 512
 BLOCK = 512
 BLOCK_BYTES = 8_000_000
 MET = 200_000
-BROADCAST_IDS = 2_000_000
 
 
 def weighted_shingles(texts: Texts, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,11 +333,6 @@ def _linked(threshold: float):
     return run
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of ids, to be broadcast if it has at most BROADCAST_IDS rows; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least so similar, with their similarity.
 

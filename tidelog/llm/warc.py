@@ -15,9 +15,18 @@ and holds no payload; the response is the one with the largest id. Digests are c
 the shuffle, and payloads meet their group's largest id in a join that Spark splits where one
 payload is that of very many records.
 
+Records of others are read too: any record type (only application/http blocks are taken apart; of
+others the block is the payload), responses without a length or in chunks, names that aren't
+UUIDs. ``record_id`` and ``refers_to_id`` are the names as they stand; ``id`` and ``refers_to``
+the numbers in those that this writer gave, else null. All files below the folder are read.
+
+A task holds one archive of at most 2 GB (Spark's limit of a file as one value) and decodes it
+frame by frame; a record of more than ``max_record_bytes`` counts as damaged.
+
 Defined results: a null payload is empty; a null id is smaller than all others, and rows that
 share a largest id are all responses. A damaged frame or record gives a row with ``error`` set;
-after a damaged frame header the rest of the archive is given up, in one such row.
+after a damaged dictionary or frame header the rest of the archive is given up, in one such row.
+Extra columns aren't written. An empty table or folder gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,10 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidelog.llm.kit import cut, map_parts
+from tidelog.llm.kit import cut, map_parts, named, small
 from tidelog.plans.shipping import map_batches, shared_path
 
-ARCHIVE_BYTES = 8_000_000
+ARCHIVE_BYTES = 64_000_000
+BATCH_BYTES = 8_000_000
+AT_ONCE, MAX_RECORD_BYTES = 16_000_000, 1 << 30
 DICTIONARY_BYTES = 32_768
 TRAINED_ON = 200
 MIN_BYTES = 0
@@ -65,7 +76,11 @@ def record_id(number: int | None) -> str:
 
 
 def record_number(name: str) -> int | None:
-    value = uuid.UUID(name.removeprefix("<urn:uuid:").removesuffix(">")).int
+    """The number in a name made by record_id; none in others."""
+    try:
+        value = uuid.UUID(name.removeprefix("<urn:uuid:").removesuffix(">")).int
+    except ValueError:
+        return None
     low = value & (1 << 64) - 1
     return None if value >> 64 else low - (1 << 64) * (low >> 63)
 
@@ -95,7 +110,7 @@ def pack(records: list[bytes]) -> bytes:
     compressor = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
     parts = []
     if trained:
-        stored = zstandard.ZstdCompressor(level=9).compress(trained.as_bytes())
+        stored = zstandard.ZstdCompressor(level=9, write_checksum=True).compress(trained.as_bytes())
         parts = [struct.pack("<II", DICTIONARY_MAGIC, len(stored)), stored]
     return b"".join([*parts, *map(compressor.compress, records)])
 
@@ -153,7 +168,23 @@ def frame_end(data: memoryview, at: int) -> int:
     return at
 
 
-def frames(data: memoryview) -> Iterator[bytes | Damaged]:
+def inflate(decoder: zstandard.ZstdDecompressor, frame: bytes, most: int) -> bytes:
+    """The frame's content; memory grows with what is decoded, not with what the frame says."""
+    if 0 <= zstandard.frame_content_size(frame) <= min(AT_ONCE, most):
+        return decoder.decompress(frame)
+    reader, parts, size = decoder.stream_reader(frame), [], 0
+    while part := reader.read(1 << 20):
+        parts.append(part)
+        size += len(part)
+        if size > most:
+            raise Damaged(f"a frame of more than {most} bytes")
+    declared = zstandard.frame_content_size(frame)
+    if declared >= 0 and declared != size:
+        raise Damaged("frame doesn't decode to its declared size")
+    return b"".join(parts)
+
+
+def frames(data: memoryview, most: int = MAX_RECORD_BYTES) -> Iterator[bytes | Damaged]:
     """The content of each frame after the leading dictionary, or what is wrong with it."""
     at, decoder = 0, zstandard.ZstdDecompressor()
     while at < len(data):
@@ -164,9 +195,14 @@ def frames(data: memoryview) -> Iterator[bytes | Damaged]:
                 return
             if at == 0 and magic == DICTIONARY_MAGIC:
                 stored = bytes(data[8 : 8 + size])
-                if stored[:4] == struct.pack("<I", FRAME_MAGIC):
-                    stored = zstandard.ZstdDecompressor().decompress(stored)
-                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stored))
+                try:
+                    if stored[:4] == struct.pack("<I", FRAME_MAGIC):
+                        stored = inflate(zstandard.ZstdDecompressor(), stored, most)
+                    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stored))
+                    decoder.decompressobj()
+                except (zstandard.ZstdError, Damaged) as e:
+                    yield Damaged(f"dictionary doesn't decode: {e}")
+                    return
             at += 8 + size
             continue
         try:
@@ -175,11 +211,11 @@ def frames(data: memoryview) -> Iterator[bytes | Damaged]:
             yield e
             return
         try:
-            frame = bytes(data[at:end])
-            known = zstandard.frame_content_size(frame) >= 0
-            yield decoder.decompress(frame) if known else decoder.decompressobj().decompress(frame)
+            yield inflate(decoder, bytes(data[at:end]), most)
         except zstandard.ZstdError as e:
             yield Damaged(f"frame doesn't decode: {e}")
+        except Damaged as e:
+            yield e
         at = end
 
 
@@ -189,7 +225,7 @@ class Record:
 
     headers: dict[str, str]
     payload: bytes = b""
-    payload_bytes: int = 0
+    payload_bytes: int | None = None
     error: str | None = None
 
 
@@ -198,34 +234,88 @@ def parse_headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def length_of(text: str) -> int | None:
+    """A length as headers give it, if it is one."""
+    return int(text) if re.fullmatch("[0-9]{1,18}", text) else None
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The body of a chunked transfer, or none if it isn't one."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = re.match(rb"[0-9A-Fa-f]{1,8}(?=\s*(?:;|$))", body[at:end])
+        if not size:
+            return None
+        n, at = int(size[0], 16), end + 2
+        if n == 0:
+            return b"".join(parts)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        parts.append(body[at : at + n])
+        at += n + 2
+    return None
+
+
+def same_digest(declared: str, *contents: bytes) -> bool:
+    """Whether a digest is that of any of the contents; those of other algorithms than SHA-1 aren't checked."""
+    kind, _, value = declared.partition(":")
+    return kind.lower() != "sha1" or any(value.upper() == sha1_base32(c) or value.lower() == hashlib.sha1(c).hexdigest() for c in contents)
+
+
 def parse(content: bytes) -> Record:
-    """One record; its version, required headers, lengths and payload digest are checked."""
+    """One record; its version, required headers, lengths and digests are checked."""
     head, found, rest = content.partition(b"\r\n\r\n")
     headers = parse_headers(head)
     if not re.match(rb"WARC/1\.[01]\r\n", content) or not found:
         return Record(headers, error="no WARC version or header end")
     if missing := [k for k in REQUIRED if not headers.get(k)]:
         return Record(headers, error=f"no {', '.join(missing)}")
-    if not headers["content-length"].isdecimal() or len(rest) != int(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+    if length_of(headers["content-length"]) != len(rest) - 4 or not rest.endswith(b"\r\n\r\n"):
         return Record(headers, error="Content-Length isn't the block's")
-    http, found, payload = rest[:-4].partition(b"\r\n\r\n")
-    declared = parse_headers(http).get("content-length", "")
-    if not http.startswith(b"HTTP/") or not found or not declared.isdecimal():
-        return Record(headers, error="no HTTP response with a length")
-    record = Record(headers, payload, int(declared))
-    if headers["warc-type"] == "revisit":
-        if payload or not headers.get("warc-refers-to"):
-            record.error = "a revisit with a payload or without a reference"
-    elif len(payload) != int(declared):
-        record.error = "the payload's length isn't the declared one"
-    elif headers.get("warc-payload-digest") != f"sha1:{sha1_base32(payload)}":
+    block, revisit = rest[:-4], headers["warc-type"] == "revisit"
+    record = Record(headers, block, len(block))
+    if "warc-block-digest" in headers and not same_digest(headers["warc-block-digest"], block):
+        record.error = "the block's digest isn't the declared one"
+    contents = (block,)
+    if headers.get("content-type", "").lower().startswith("application/http") and (block or not revisit):
+        record = _http(record, block, revisit)
+        contents = (record.payload, block.partition(b"\r\n\r\n")[2])
+    if revisit:
+        if not block:
+            record.payload_bytes = None
+        if record.payload or not (headers.get("warc-refers-to") or headers.get("warc-refers-to-target-uri")):
+            record.error = record.error or "a revisit with a payload or without a reference"
+    elif record.error is None and not same_digest(headers.get("warc-payload-digest", ""), *contents):
         record.error = "the payload's digest isn't the declared one"
     return record
 
 
+def _http(record: Record, block: bytes, revisit: bool) -> Record:
+    """The record with the payload of its HTTP message."""
+    http, found, body = block.partition(b"\r\n\r\n")
+    lines = parse_headers(http)
+    declared, request = lines.get("content-length"), record.headers["warc-type"] == "request"
+    if not found or not (request or http.startswith(b"HTTP/")):
+        record.payload, record.payload_bytes, record.error = b"", None, record.error or "no HTTP message"
+        return record
+    record.payload, record.payload_bytes = body, len(body)
+    if "chunked" in lines.get("transfer-encoding", "").lower():
+        if (whole := unchunked(body)) is not None:
+            record.payload, record.payload_bytes = whole, len(whole)
+    elif declared is not None:
+        n = length_of(declared)
+        if n is None or not revisit and n != len(body):
+            record.error = record.error or "the payload's length isn't the declared one"
+        record.payload_bytes = n
+    elif revisit:
+        record.payload_bytes = None
+    return record
+
+
 READ = StructType([
     StructField("id", LongType()), StructField("uri", StringType()), StructField("record_type", StringType()), StructField("payload_bytes", LongType()),
     StructField("payload_digest", StringType()), StructField("refers_to", LongType()), StructField("payload", BinaryType()), StructField("error", StringType()),
+    StructField("record_id", StringType()), StructField("refers_to_id", StringType()),
 ])
 
 
@@ -234,18 +324,17 @@ def _row(content: bytes | Damaged, with_payload: bool) -> dict:
         return {"error": str(content)}
     record = parse(content)
     h = record.headers
-    row = {"uri": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "payload_bytes": record.payload_bytes, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "error": record.error}
-    try:
-        row |= {"id": record_number(h["warc-record-id"])} if h.get("warc-record-id") else {}
-        row |= {"refers_to": record_number(h["warc-refers-to"])} if h.get("warc-refers-to") else {}
-    except ValueError:
-        row["error"] = row["error"] or "a record's name isn't a UUID"
+    name, refers_to, digest = h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-payload-digest")
+    row = {
+        "uri": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "payload_bytes": record.payload_bytes, "error": record.error, "record_id": name, "refers_to_id": refers_to,
+        "payload_digest": digest.removeprefix("sha1:") if digest else sha1_base32(record.payload), "id": name and record_number(name), "refers_to": refers_to and record_number(refers_to),
+    }
     return row | ({"payload": record.payload} if with_payload else {})
 
 
-def read_archives(spark: SparkSession, at: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives in the folder ``at``; a revisit's payload is empty."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).select("content")
+def read_archives(spark: SparkSession, at: str, with_payload: bool = True, max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+    """The records of all archives below the folder ``at``; a revisit's payload is empty."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("content")
     schema = READ if with_payload else StructType([f for f in READ if f.name != "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +343,10 @@ def read_archives(spark: SparkSession, at: str, with_payload: bool = True) -> Da
         arrow, held, size = to_arrow_schema(schema), [], 0
         for batch in batches:
             for content in batch.column(0):
-                for found in frames(memoryview(content.as_buffer())):
+                for found in frames(memoryview(content.as_buffer()), max_record_bytes):
                     held.append(_row(found, with_payload))
                     size += 500 + len(held[-1].get("payload") or b"")
-                    if size >= ARCHIVE_BYTES:
+                    if size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
                         held, size = [], 0
         yield pa.RecordBatch.from_pylist(held, schema=arrow)
@@ -267,12 +356,12 @@ def read_archives(spark: SparkSession, at: str, with_payload: bool = True) -> Da
 
 def with_revisits(pages: DataFrame, id_col: str, uri_col: str, payload_col: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Rows for write_archives: of equal payloads of at least ``min_bytes``, all but the largest id's refer to it."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    payload = F.coalesce(named(payload_col).cast("binary"), F.lit(b""))
+    rows = pages.select(named(id_col).cast("long").alias("id"), named(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("response_id"), F.count("*").alias("n")).where("n > 1")
-    # Cut, both sides of the join are plain shuffles, which Spark splits where a digest is hot.
-    joined = rows.join(cut(shared.select("digest", "response_id"), "digests"), "digest", "left")
+    # Where the digests aren't small, both sides are plain shuffles, which Spark splits where a digest is hot.
+    joined = rows.join(small(cut(shared.select("digest", "response_id"), "digests")), "digest", "left")
     revisit = F.coalesce(F.col("id") < F.col("response_id"), F.col("id").isNull() & F.col("response_id").isNotNull())
     return joined.select("id", "uri", "payload", F.when(revisit, F.col("response_id")).alias("refers_to"), revisit.alias("revisit"))
 
