@@ -28,7 +28,11 @@ def delete(commands: DataFrame) -> DataFrame:
 
 
 def _before(log: DataFrame) -> DataFrame:
-    """The log with ``prior``, the last write on the same key before each row."""
+    """The log with ``prior``, the last write on the same key before each row.
+
+    The commands of one key are one window: Spark sorts them in one task, on the JVM, spilling to
+    disk. A key with very many commands makes that task long, not wrong.
+    """
     earlier = Window.partitionBy("shard", "key").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     write = F.when(F.col("op").isin("PUT", "DELETE"), F.struct("op", "value"))
     return log.withColumn("prior", F.last(write, ignorenulls=True).over(earlier))

@@ -1,4 +1,8 @@
-"""Placement of shards on nodes, and routing. Nodes are (node_id, addr), a small fixed table."""
+"""Placement of shards on nodes, and routing.
+
+Nodes are (node_id, addr), a small fixed table. Where an id stands in several rows the last one
+counts, by the column ``seq`` if there is one, else by the address.
+"""
 
 from __future__ import annotations
 
@@ -24,13 +28,18 @@ def shard_count(nodes: DataFrame, rf: int) -> DataFrame:
     return nodes.agg(F.countDistinct("node_id").alias("nodes")).select("nodes", F.expr(f"nodes div {int(rf)}").cast("bigint").alias("shards"))
 
 
+def last_of_each(nodes: DataFrame) -> DataFrame:
+    """(node_id, addr), one row for each id."""
+    return nodes.groupBy("node_id").agg(F.max_by("addr", F.struct("seq", "addr") if "seq" in nodes.columns else F.col("addr")).alias("addr"))
+
+
 def placement(nodes: DataFrame, rf: int) -> DataFrame:
-    """(node_id, addr, shard): runs of ``rf`` ids in ascending order share a shard.
+    """(node_id, addr, shard): runs of ``rf`` different ids in ascending order share a shard.
 
     The window has one partition, which a node list never makes large.
     """
     rank = F.row_number().over(Window.orderBy("node_id")) - 1
-    return nodes.select("node_id", "addr", F.floor(rank / F.lit(rf)).cast("int").alias("shard"))
+    return last_of_each(nodes).select("node_id", "addr", F.floor(rank / F.lit(rf)).cast("int").alias("shard"))
 
 
 def replicas(nodes: DataFrame, rf: int, shard: int) -> DataFrame:
@@ -58,15 +67,16 @@ def route(commands: DataFrame, nodes: DataFrame, rf: int, shards: int) -> DataFr
 
 def leader_address(status: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where a follower sends clients: (…, leader_addr), empty if the leader is unknown."""
-    named = nodes.select(F.col("node_id").alias("leader"), F.col("addr").alias("leader_addr"))
+    named = last_of_each(nodes).select(F.col("node_id").alias("leader"), F.col("addr").alias("leader_addr"))
     return status.join(named, "leader", "left").withColumn("leader_addr", F.coalesce("leader_addr", F.lit("")))
 
 
 def parse_node(text: Column) -> Column:
-    """struct<node_id, addr> of "id=host:port": split at the first "="; a bad id is null."""
+    """struct<node_id, addr> of "id=host:port": split at the first "="; an id that isn't digits, after a plus at most, is null, as is one of 2 ** 63 or more."""
     at = F.instr(text, "=")
     has = at > 0
+    number = F.substring(text, F.lit(1), at - 1)
     return F.struct(
-        F.when(has, F.substring(text, F.lit(1), at - 1).try_cast("bigint")).alias("node_id"),
+        F.when(has & number.rlike(r"^\+?[0-9]+\z"), number.try_cast("bigint")).alias("node_id"),
         F.when(has, F.substring(text, at + 1, F.length(text))).alias("addr"),
     )

@@ -26,7 +26,10 @@ SELECT CAST(user_id % 5 AS INT) AS file, CAST(event_id + 1 AS BIGINT) AS seq, CA
   CASE WHEN event_type IN ('signup', 'purchase') THEN props END AS value
 FROM {events} WHERE event_type IN ('signup', 'purchase', 'error')"""
 
-NODES = "SELECT s_suppkey AS node_id, CONCAT('node', CAST(s_suppkey AS STRING), ':7001') AS addr FROM {supplier}"
+#: Nodes, of which every fourth is given twice; the later one counts.
+NODES = """
+SELECT s_suppkey AS node_id, CONCAT('node', CAST(s_suppkey AS STRING), ':7001') AS addr, 1 AS seq FROM {supplier}
+UNION ALL SELECT s_suppkey AS node_id, CONCAT('zold', CAST(s_suppkey AS STRING), ':7001') AS addr, 0 AS seq FROM {supplier} WHERE s_suppkey % 4 = 0"""
 
 VOTES = """
 SELECT CAST(o_custkey % 8 AS INT) AS shard, o_orderkey % 40 + 1 AS term, o_custkey % 5 + 1 AS candidate, o_orderkey % 5 + 1 AS voter, o_orderstatus <> 'P' AS granted
@@ -42,11 +45,11 @@ ORDER_LOG = "SELECT CAST(o_custkey % 50 AS INT) AS shard, o_orderkey AS idx, CAS
 REPLICA_LOG = """
 SELECT replica, idx, CAST(1 + FLOOR(idx / 10.0) AS BIGINT) AS term FROM (
   SELECT o_custkey % 20 AS replica, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS BIGINT) AS idx FROM {orders}) x"""
-#: What a leader sends to them: even replicas get a part of what they have, odd ones get other terms from some index on, and more.
+#: What a leader sends to them: even replicas get the middle of what they have, odd ones other terms from some index on, and more.
 INCOMING = f"""
-SELECT replica, idx, term + CASE WHEN replica % 2 = 1 AND idx > 20 + replica THEN 1 ELSE 0 END AS term FROM ({REPLICA_LOG}) y
-WHERE idx > 10 AND (replica % 2 = 1 OR idx < 30)
-UNION ALL SELECT replica, CAST(1000000 + idx AS BIGINT) AS idx, CAST(999 AS BIGINT) AS term FROM ({REPLICA_LOG}) z WHERE replica % 2 = 1 AND idx <= 5"""
+SELECT replica, idx, term + CASE WHEN replica % 2 = 1 AND idx > FLOOR(n / 2.0) + replica THEN 1 ELSE 0 END AS term
+FROM (SELECT replica, idx, term, COUNT(*) OVER (PARTITION BY replica) AS n FROM ({REPLICA_LOG}) y) z WHERE idx > FLOOR(n / 4.0) AND (replica % 2 = 1 OR idx < FLOOR(n / 1.5))
+UNION ALL SELECT replica, n + idx AS idx, term + n AS term FROM (SELECT replica, idx, term, COUNT(*) OVER (PARTITION BY replica) AS n FROM ({REPLICA_LOG}) y) z WHERE replica % 2 = 1 AND idx <= 5"""
 HARD_STATE = f"SELECT replica, MAX(term) AS term, CAST(0 AS BIGINT) AS voted_for, MAX(idx) - replica % 3 + CASE WHEN replica = 7 THEN 5 ELSE 0 END AS last FROM ({REPLICA_LOG}) y GROUP BY replica"
 APPENDS = f"SELECT replica, idx - 1 AS prev_idx, CASE WHEN idx = 1 THEN 0 WHEN idx % 7 = 0 THEN term + 1 ELSE CAST(1 + FLOOR((idx - 1) / 10.0) AS BIGINT) END AS prev_term FROM ({REPLICA_LOG}) y"
 
@@ -61,9 +64,16 @@ RESPONSES = """
 SELECT CAST(o_custkey % 8 AS INT) AS shard, o_orderkey % 4 + 2 AS peer, o_orderkey AS arrival, o_orderstatus <> 'P' AS success, o_custkey AS idx
 FROM {orders} WHERE NOT (o_custkey % 8 = 3 AND o_orderkey % 4 = 1)"""
 STARTS = "SELECT DISTINCT CAST(o_custkey % 8 AS INT) AS shard, o_orderkey % 4 + 2 AS peer, CAST(5 AS BIGINT) AS matched, CAST(6 AS BIGINT) AS next_idx FROM {orders}"
+#: What a leader sends: so many entries at a time, between the responses.
+SENDS = """
+SELECT CAST(o_custkey % 8 AS INT) AS shard, o_orderkey % 4 + 2 AS peer, o_orderkey + 0.5 AS arrival, o_custkey % 7 AS n FROM {orders} WHERE o_orderkey % 3 = 0"""
+#: Vote requests by replica and arrival; terms go up slowly, and some are stale.
 REQUESTS = """
-SELECT o_custkey % 20 AS replica, o_orderkey % 5 + 1 AS candidate, o_orderkey % 9 AS log_term, o_orderkey % 13 AS log_idx FROM {orders}"""
-VOTERS = "SELECT DISTINCT o_custkey % 20 AS replica, o_custkey % 20 % 8 AS last_term, o_custkey % 20 % 11 AS last_idx, o_custkey % 20 % 4 AS voted_for FROM {orders}"
+SELECT o_custkey % 20 AS replica, o_orderkey AS arrival, CAST(FLOOR(o_orderkey / 200.0) AS BIGINT) + o_orderkey % 3 AS term, o_orderkey % 5 + 1 AS candidate,
+  o_orderkey % 9 AS log_term, o_orderkey % 13 AS log_idx
+FROM {orders}"""
+VOTERS = """
+SELECT DISTINCT o_custkey % 20 AS replica, CAST(2 AS BIGINT) AS term, o_custkey % 20 % 8 AS last_term, o_custkey % 20 % 11 AS last_idx, o_custkey % 20 % 4 AS voted_for FROM {orders}"""
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

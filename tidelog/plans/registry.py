@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 TABLES = {
     "log": A.LOG, "writes": A.WRITES, "nodes": A.NODES, "votes": A.VOTES, "progress": A.PROGRESS, "leaders": A.LEADERS, "order_log": A.ORDER_LOG,
     "replica_log": A.REPLICA_LOG, "incoming": A.INCOMING, "hard_state": A.HARD_STATE, "appends": A.APPENDS, "messages": A.MESSAGES, "stored": A.STORED_TERMS,
-    "responses": A.RESPONSES, "starts": A.STARTS, "requests": A.REQUESTS, "voters": A.VOTERS,
+    "responses": A.RESPONSES, "starts": A.STARTS, "sends": A.SENDS, "requests": A.REQUESTS, "voters": A.VOTERS,
 }
 
 PRIOR = """last_value(CASE WHEN op <> 'GET' THEN {'op': op, 'v': value} END IGNORE NULLS) OVER (PARTITION BY shard, key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
@@ -57,17 +57,23 @@ def k1_get_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATE = "SELECT shard, key, w.v AS value, idx FROM (SELECT shard, key, arg_max({'op': op, 'v': value}, idx) AS w, max(idx) AS idx FROM x WHERE op <> 'GET' GROUP BY shard, key) WHERE w.op = 'PUT'"
 
 
-@query("+x AS (SELECT shard, idx, op, key, value FROM @log UNION ALL SELECT shard, idx + 1000000, 'PUT', key, concat('again-', key) FROM @log WHERE op = 'GET') " + STATE)
+def after_all(log: DataFrame) -> DataFrame:
+    """The log's rows, moved to indexes after its last one."""
+    last = F.broadcast(log.groupBy("shard").agg(F.max("idx").alias("last_idx")))
+    return log.join(last, "shard").withColumn("idx", F.col("idx") + F.col("last_idx")).drop("last_idx")
+
+
+@query("+x AS (SELECT shard, idx, op, key, value FROM @log UNION ALL SELECT shard, idx + (SELECT max(idx) FROM @log), 'PUT', key, concat('again-', key) FROM @log WHERE op = 'GET') " + STATE)
 def k2_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = frame(spark, sf_dir, A.LOG)
-    more = log.where("op = 'GET'").select("shard", (F.col("idx") + 1_000_000).alias("idx"), "term", "key", F.concat(F.lit("again-"), "key").alias("value"))
+    more = after_all(log).where("op = 'GET'").select("shard", "idx", "term", "key", F.concat(F.lit("again-"), "key").alias("value"))
     return kv.state(kv.append(log, kv.put(more)))
 
 
-@query("+x AS (SELECT shard, idx, op, key, value FROM @log UNION ALL SELECT shard, idx + 1000000, 'DELETE', key, NULL FROM @log WHERE op = 'PUT' AND key LIKE '%1%') " + STATE)
+@query("+x AS (SELECT shard, idx, op, key, value FROM @log UNION ALL SELECT shard, idx + (SELECT max(idx) FROM @log), 'DELETE', key, NULL FROM @log WHERE op = 'PUT' AND key LIKE '%1%') " + STATE)
 def k3_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = frame(spark, sf_dir, A.LOG)
-    more = log.where("op = 'PUT' AND key LIKE '%1%'").select("shard", (F.col("idx") + 1_000_000).alias("idx"), "term", "key")
+    more = after_all(log).where("op = 'PUT' AND key LIKE '%1%'").select("shard", "idx", "term", "key")
     return kv.state(kv.append(log, kv.delete(more)))
 
 
@@ -76,10 +82,10 @@ def k4_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.state(frame(spark, sf_dir, A.LOG))
 
 
-@query(f"+s AS (SELECT CAST({fnv('key')} % {SHARDS} AS INTEGER) AS shard, idx, op, key, value FROM @log), x AS (SELECT * FROM s WHERE idx <= 200 * (shard + 1)) " + STATE)
+@query(f"+s AS (SELECT CAST({fnv('key')} % {SHARDS} AS INTEGER) AS shard, idx, op, key, value FROM @log), x AS (SELECT * EXCLUDE last FROM (SELECT *, max(idx) OVER (PARTITION BY shard) AS last FROM s) WHERE idx <= last * (shard + 1) // 4) " + STATE)
 def k5_state_at_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = placement.assign(frame(spark, sf_dir, A.LOG), "key", SHARDS)
-    commits = spark.range(SHARDS).select(F.col("id").cast("int").alias("shard"), (200 * (F.col("id") + 1)).alias("commit"))
+    commits = log.groupBy("shard").agg(F.expr("max(idx) * (shard + 1) div 4").alias("commit"))
     return kv.state_at_commits(log, commits)
 
 
@@ -122,7 +128,14 @@ def s9_key_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.key_directory(frame(spark, sf_dir, A.WRITES))
 
 
-@query()
+# CRC-32 bit by bit, as DuckDB has none: each byte goes through eight steps of shift and polynomial.
+CRC_STEPS = "list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)"
+LE = "concat(substr(printf('%08X', {0}), 7, 2), substr(printf('%08X', {0}), 5, 2), substr(printf('%08X', {0}), 3, 2), substr(printf('%08X', {0}), 1, 2))"
+
+
+@query("+b AS (SELECT file, seq, concat(" + LE.format("octet_length(encode(key))::BIGINT") + ", CASE WHEN value IS NULL THEN 'FFFFFFFF' ELSE " + LE.format("octet_length(encode(coalesce(value, '')))::BIGINT") + " END, hex(encode(key)), coalesce(hex(encode(value)), '')) AS body FROM @writes), "
+       "c AS (SELECT file, seq, body, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(body) // 2), lambda i: ('0x' || substr(body, 2 * i + 1, 2))::UBIGINT)), lambda h, b: " + CRC_STEPS + "), 4294967295::UBIGINT)::BIGINT AS crc FROM b) "
+       "SELECT file, seq, concat(" + LE.format("crc") + ", body) AS record_hex FROM c")
 def s10_encoded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, A.WRITES).select("file", "seq", F.hex(encode_record(F.col("key"), F.col("value"))).alias("record_hex"))
 
@@ -143,7 +156,7 @@ def p1_shard_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.shard_count(frame(spark, sf_dir, A.NODES), RF)
 
 
-PLACED = f"SELECT node_id, addr, CAST((row_number() OVER (ORDER BY node_id) - 1) // {RF} AS INTEGER) AS shard FROM @nodes"
+PLACED = f"SELECT node_id, addr, CAST((row_number() OVER (ORDER BY node_id) - 1) // {RF} AS INTEGER) AS shard FROM (SELECT node_id, arg_max(addr, seq) AS addr FROM @nodes GROUP BY node_id)"
 
 
 @query(PLACED)
@@ -175,7 +188,7 @@ def p5_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.route(part, frame(spark, sf_dir, A.NODES), RF, 2)
 
 
-@query("+s AS (SELECT o_orderkey, o_custkey % 13 AS leader FROM orders) SELECT o_orderkey, leader, coalesce(addr, '') AS leader_addr FROM s LEFT JOIN @nodes n ON n.node_id = s.leader")
+@query("+s AS (SELECT o_orderkey, o_custkey % 13 AS leader FROM orders) SELECT o_orderkey, leader, coalesce(addr, '') AS leader_addr FROM s LEFT JOIN (SELECT node_id, arg_max(addr, seq) AS addr FROM @nodes GROUP BY node_id) n ON n.node_id = s.leader")
 def p6_leader_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 13).alias("leader"))
     return placement.leader_address(orders, frame(spark, sf_dir, A.NODES)).select("o_orderkey", "leader", "leader_addr")
@@ -188,28 +201,40 @@ def p7_valid_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.agg(F.countDistinct("node_id").alias("nodes")).withColumn("valid", F.col("nodes") % RF == 0)
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey END AS node_id, CASE WHEN s_suppkey % 4 < 3 THEN concat('h=', s_name, ':1') END AS addr FROM supplier")
+#: Before the "=", by the supplier's key modulo 8: the key as it is, after a plus, a minus, blanks, a letter; none; too long; none at all.
+SPELT = """
+SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN CONCAT(s_suppkey, '=h=', s_name, ':1') WHEN 1 THEN CONCAT('+', s_suppkey, '=h:', s_suppkey) WHEN 2 THEN CONCAT('-', s_suppkey, '=h:1')
+  WHEN 3 THEN CONCAT(' ', s_suppkey, '=h:1') WHEN 4 THEN CONCAT('x', s_suppkey, '=h:1') WHEN 5 THEN '=h:1' WHEN 6 THEN CONCAT('00', s_suppkey, '=') ELSE s_name END AS spelt FROM {supplier}"""
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 8 IN (0, 1, 6) THEN s_suppkey END AS node_id, CASE WHEN s_suppkey % 8 = 0 THEN concat('h=', s_name, ':1') WHEN s_suppkey % 8 = 1 THEN concat('h:', s_suppkey) WHEN s_suppkey % 8 = 6 THEN '' WHEN s_suppkey % 8 < 7 THEN 'h:1' END AS addr FROM supplier")
 def c4_parse_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
-    k, n = F.col("s_suppkey").cast("string"), F.concat(F.lit("h="), "s_name", F.lit(":1"))
-    text = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("x"), k, F.lit("="), n)).otherwise(F.concat(k, F.lit("="), n))
-    parsed = s.select("s_suppkey", placement.parse_node(text).alias("p"))
-    return parsed.select("s_suppkey", "p.node_id", F.when(F.col("s_suppkey") % 4 < 3, F.col("p.addr")).alias("addr"))
+    return frame(spark, sf_dir, SPELT).select("s_suppkey", placement.parse_node(F.col("spelt")).alias("p")).select("s_suppkey", "p.node_id", "p.addr")
 
 
-@query("SELECT o_custkey % 8 AS shard, o_orderkey AS arrival, CAST(10 * (o_custkey % 8) + row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) AS BIGINT) AS idx FROM orders")
+@query("SELECT o_custkey % 8 AS shard, o_orderkey AS arrival, o_orderstatus <> 'P' AS leading, CASE WHEN o_orderstatus <> 'P' THEN CAST(10 * (o_custkey % 8) + count(*) FILTER (WHERE o_orderstatus <> 'P') OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) AS BIGINT) END AS idx FROM orders")
 def r3_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrivals = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 8).alias("shard"), F.col("o_orderkey").alias("arrival"))
+    """What arrives at a node that doesn't lead, here where the order's status is P, gets no index."""
+    arrivals = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 8).alias("shard"), F.col("o_orderkey").alias("arrival"), (F.col("o_orderstatus") != "P").alias("leading"))
     return raftlog.propose(arrivals, spark.range(8).select(F.col("id").alias("shard"), (10 * F.col("id")).alias("last_idx")))
 
 
+@query("+e AS (SELECT h.replica, arg_max({'i': idx, 't': r.term}, idx) AS l FROM @hard_state h LEFT JOIN @replica_log r ON r.replica = h.replica AND r.idx <= h.last GROUP BY h.replica) "
+       "SELECT replica, 'follower' AS role, term, voted_for, 0::BIGINT AS leader, coalesce(l.i, 0) AS last_idx, coalesce(l.t, 0) AS last_term, 0::BIGINT AS commit FROM @hard_state JOIN e USING (replica)")
+def r1_started(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raftlog.started(frame(spark, sf_dir, A.REPLICA_LOG), frame(spark, sf_dir, A.HARD_STATE))
+
+
 @query("+m AS (SELECT m.replica, m.arrival, m.term, m.kind, greatest(s.term, coalesce(max(m.term) OVER (PARTITION BY m.replica ORDER BY m.arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS seen_term FROM @messages m LEFT JOIN @stored s ON s.replica = m.replica) "
        "SELECT *, CASE WHEN term < seen_term AND kind = 'APPEND' THEN 'refused' WHEN term < seen_term THEN 'dropped' WHEN term > seen_term THEN 'adopted' ELSE 'handled' END AS outcome FROM m")
 def r5_term_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raftlog.by_term(frame(spark, sf_dir, A.MESSAGES).select("replica", "arrival", "term", "kind"), frame(spark, sf_dir, A.STORED_TERMS))
 
 
-@query("SELECT r.*, (log_term > last_term OR (log_term = last_term AND log_idx >= last_idx)) AND (voted_for = 0 OR voted_for = candidate) AS granted FROM @requests r JOIN @voters USING (replica)")
+@query("+s AS (SELECT r.*, v.term AS own, voted_for, r.term >= greatest(v.term, coalesce(max(r.term) OVER (PARTITION BY replica ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+       "AND (log_term > last_term OR (log_term = last_term AND log_idx >= last_idx)) AS able FROM @requests r JOIN @voters v USING (replica)), "
+       "w AS (SELECT replica, term, arg_min(candidate, arrival) AS chosen FROM s WHERE able GROUP BY replica, term) "
+       "SELECT replica, arrival, term, candidate, log_term, log_idx, able AND candidate = CASE WHEN term = own AND voted_for <> 0 THEN voted_for ELSE chosen END AS granted FROM s LEFT JOIN w USING (replica, term)")
 def r6_vote_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raftlog.vote_grants(frame(spark, sf_dir, A.REQUESTS), frame(spark, sf_dir, A.VOTERS))
 
@@ -250,7 +275,7 @@ def r10_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
        "w AS (SELECT first, last, 1 AS batch FROM e WHERE first = 1 UNION ALL SELECT e.first, e.last, batch + 1 FROM w JOIN e ON e.first = w.last + 1) "
        "SELECT 0::BIGINT AS shard, idx, batch::BIGINT AS batch FROM n JOIN w ON idx BETWEEN first AND last")
 def r10_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raftlog.batches(frame(spark, sf_dir, A.LOG), max_bytes=8192)
+    return raftlog.batches(frame(spark, sf_dir, A.LOG), max_bytes=8192, chunk=4096)
 
 
 ORACLE_SQL["r10_batches"] = ORACLE_SQL["r10_batches"].replace("WITH ", "WITH RECURSIVE ", 1)
@@ -262,11 +287,16 @@ def r11_follower_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", raftlog.follower_commit(F.col("user_id"), F.col("event_id"), F.floor("value").cast("bigint")).alias("commit"))
 
 
+# All that is sent after a success counts beside it.
 @query("+f AS (SELECT shard, peer, max(arrival) AS failed, arg_max(idx, arrival) AS hint FROM @responses WHERE NOT success GROUP BY ALL), "
-       "a AS (SELECT r.shard, r.peer, max(idx) AS acked, max(idx + 1) FILTER (WHERE failed IS NULL OR arrival > failed) AS raised FROM @responses r LEFT JOIN f ON f.shard = r.shard AND f.peer = r.peer WHERE success GROUP BY ALL) "
-       "SELECT s.shard, s.peer, greatest(matched, acked) AS matched, greatest(coalesce(hint + 1, next_idx), raised) AS next_idx FROM @starts s LEFT JOIN f USING (shard, peer) LEFT JOIN a USING (shard, peer)")
+       "a AS (SELECT r.shard, r.peer, r.arrival, idx FROM @responses r LEFT JOIN f USING (shard, peer) WHERE success AND (failed IS NULL OR r.arrival > failed)), "
+       "z AS (SELECT s.shard, s.peer, s.arrival, n FROM @sends s LEFT JOIN f USING (shard, peer) WHERE failed IS NULL OR s.arrival > failed), "
+       "b AS (SELECT shard, peer, max(idx + 1 + (SELECT coalesce(sum(n), 0) FROM z WHERE z.shard = a.shard AND z.peer = a.peer AND z.arrival > a.arrival)) AS raised FROM a GROUP BY ALL), "
+       "t AS (SELECT shard, peer, sum(n) AS sent FROM z GROUP BY ALL), m AS (SELECT shard, peer, max(idx) AS acked FROM @responses WHERE success GROUP BY ALL) "
+       "SELECT s.shard, s.peer, greatest(matched, acked) AS matched, CAST(greatest(coalesce(hint + 1, next_idx) + coalesce(sent, 0), raised) AS BIGINT) AS next_idx "
+       "FROM @starts s LEFT JOIN f USING (shard, peer) LEFT JOIN b USING (shard, peer) LEFT JOIN t USING (shard, peer) LEFT JOIN m USING (shard, peer)")
 def r12_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raftlog.progress_after(frame(spark, sf_dir, A.RESPONSES), frame(spark, sf_dir, A.STARTS))
+    return raftlog.progress_after(frame(spark, sf_dir, A.RESPONSES), frame(spark, sf_dir, A.STARTS), frame(spark, sf_dir, A.SENDS))
 
 
 @query("+m AS (SELECT shard, matched FROM @progress UNION ALL SELECT shard, last_idx FROM @leaders), q AS (SELECT shard, list_reverse_sort(list(matched))[len(list(matched)) // 2 + 1] AS n FROM m GROUP BY shard) "
@@ -296,10 +326,10 @@ def n2_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raftlog.recovery(frame(spark, sf_dir, A.REPLICA_LOG), frame(spark, sf_dir, A.HARD_STATE))
 
 
-@query("+p AS (SELECT shard, idx, term + CASE WHEN idx % 5 = 0 THEN 1 ELSE 0 END AS term FROM @order_log WHERE idx % 3 = 0) SELECT p.shard, p.idx, p.term, p.term = o.term AS ok, '' AS leader FROM p JOIN @order_log o USING (shard, idx)")
+@query("+p AS (SELECT shard, idx, term + CASE WHEN idx % 5 = 0 THEN 1 ELSE 0 END AS term FROM @order_log) SELECT p.shard, p.idx, p.term, p.term = o.term AS ok, '' AS leader FROM p JOIN @order_log o USING (shard, idx)")
 def n6_waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = frame(spark, sf_dir, A.ORDER_LOG)
-    pending = log.where("idx % 3 = 0").withColumn("term", F.col("term") + F.when(F.col("idx") % 5 == 0, 1).otherwise(0))
+    pending = log.withColumn("term", F.col("term") + F.when(F.col("idx") % 5 == 0, 1).otherwise(0))
     return raftlog.waiters(pending, log)
 
 

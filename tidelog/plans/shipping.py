@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,19 +29,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
-    """mapInArrow, with this package on the executors."""
+    """mapInArrow, with this package on the executors; ``run`` goes by the places of columns, whose names may be any."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a temporary folder of this machine takes its place.
+    Only where that is unset on a local master, as in tests, a temporary folder of this machine
+    takes its place; on a cluster each executor would write to its own disk, so there it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} see")
         at = sc._tidelog_shared = getattr(sc, "_tidelog_shared", None) or tempfile.mkdtemp(prefix="tidelog-")
     return at.rstrip("/")
 

@@ -2,7 +2,10 @@
 
 Within a micro-batch a key's commands are put in the order of idx; across batches the source has
 to deliver them so. Each key remembers the last idx it saw, also of reads and also after a
-delete, and a smaller one fails the query rather than answer wrongly.
+delete, and a smaller or repeated one fails the query rather than answer wrongly.
+
+A key's commands of one micro-batch are looked at together, as Arrow columns: the micro-batch's
+size, which the source's options bound, bounds what a task holds, not the stream's.
 """
 
 from __future__ import annotations
@@ -10,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -29,19 +34,23 @@ class Apply(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        idx, present, value = self.last.get() if self.last.exists() else (0, False, None)
-        shard, name = key
-        for row in sorted(rows, key=lambda r: r.idx):
-            if row.idx <= idx:
-                raise ValueError(f"shard {shard}, key {name!r}: index {row.idx} came after {idx}")
-            idx = row.idx
-            if row.op == "GET":
-                yield Row(shard=shard, idx=idx, op="GET", key=name, value=value, found=present)
-                continue
-            present, value = row.op == "PUT", row.value if row.op == "PUT" else None
-            yield Row(shard=shard, idx=idx, op=row.op, key=name, value=None, found=False)
-        self.last.update((idx, present, value))
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before, present, value = self.last.get() if self.last.exists() else (0, False, None)
+        part = pd.concat(list(rows)).sort_values("idx")
+        idx, op, values = part["idx"].to_numpy(), part["op"].to_numpy(object), part["value"].to_numpy(object)
+        late = np.flatnonzero(np.diff(idx, prepend=before) <= 0)
+        if len(late):
+            raise ValueError(f"shard {key[0]}, key {key[1]!r}: index {idx[late[0]]} came after {before} or stands twice")
+        # For each command the last write before it; -1 is the state's.
+        reads = op == "GET"
+        writes = np.maximum.accumulate(np.where(reads, -1, np.arange(len(idx))))
+        prior = np.concatenate(([-1], writes[:-1]))
+        put, held = np.append(op == "PUT", present), np.append(values, value)
+        found = reads & put[prior]
+        answers = np.where(found, held[prior], None)
+        yield pd.DataFrame({"shard": key[0], "idx": idx, "op": op, "key": key[1], "value": answers, "found": found})
+        present = bool(put[writes[-1]])
+        self.last.update((int(idx[-1]), present, held[writes[-1]] if present else None))
 
     def close(self) -> None:
         pass
@@ -51,4 +60,4 @@ def answers(log: DataFrame) -> DataFrame:
     """The answers (shard, idx, op, key, value, found) to a stream of commands; needs the RocksDB state store."""
     ship(log.sparkSession)
     commands = log.where("op IS NOT NULL").select("shard", "key", "idx", "op", "value")
-    return commands.groupBy("shard", "key").transformWithState(Apply(), ANSWERS, "Append", "None")
+    return commands.groupBy("shard", "key").transformWithStateInPandas(Apply(), ANSWERS, "Append", "None")
