@@ -12,20 +12,18 @@ of documents, n_e, n_t and n_et those that hold e, t and both anywhere; t counts
 ``support`` or more. Every occurrence of such a term in any document becomes a span of kind
 ``term``; in the cleaned text it is generalised to [NAME] or [NUMBER] by its form, or removed.
 
-With ``reach`` set, n_et counts only documents with t within so many characters of a mention of
-e, and only such documents get t as spans. That misses terms further away, and documents that
-hold a term without its entity; it is what the SQL of ``op4_pii`` says.
-
-Only documents that hold base spans or terms found are shuffled with their texts. Counts are
-combined before each shuffle, and mentions of an entity are never brought into one group, so an
-address that a third of all documents carry is one row for each task. Entities in fewer than
-``support`` documents, which no term can reveal, are left out before terms are paired with them,
-and so is a term with n_t above n_e ** alpha * N ** (1 - alpha): as n_et is n_e at most, its
-information is below the threshold whatever n_et is. Neither changes a result.
+Base spans are found once, and only documents that hold any, or terms found, are shuffled with
+their texts. Counts are combined before each shuffle, and mentions of an entity are never brought
+into one group, so an address that a third of all documents carry is one row for each task.
+Entities in fewer than ``support`` documents, which no term can reveal, are left out before terms
+are paired with them; of terms, only those of documents that hold an entity left are counted; and
+a term with n_t above n_e ** alpha * N ** (1 - alpha) is left out: as n_et is n_e at most, its
+information is below the threshold whatever n_et is. None of this changes a result.
 
 Defined results: null text counts as empty; a document without spans keeps its text; rows with
 equal id and text share one result; overlapping spans are all reported and cut out as one
-region, labelled by the first. Extra columns stay. An empty table gives an empty table.
+region, labelled by the first. Extra columns stay, whatever their names. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.kit import cut, free_name
+from tidelog.llm.kit import cut, discard, free_name, named, small
 
 # The kinds of personal data in their order, and the form of each. Possessive
 # quantifiers and the look-behinds change no match; they keep long runs of one class linear.
@@ -48,7 +46,7 @@ TERM = r"[\p{L}\p{N}]+"
 TERM_KIND = len(FORMS)
 KINDS = [*FORMS, "term"]
 
-ALPHA, SUPPORT, REACH = 0.85, 3, 100
+ALPHA, SUPPORT = 0.85, 3
 
 
 def prefix_sums(values: Column) -> Column:
@@ -132,29 +130,10 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1)), "")
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text: str, alpha: float, support: int) -> DataFrame:
+def disclosing_terms(held: DataFrame, holding: DataFrame, docs: DataFrame, alpha: float, support: int) -> DataFrame:
     """(kind, entity, term) whose mutual information passes the threshold.
 
-    mentions: one row for each entity of each document, with ``near``, the terms around it.
-    """
-    total = docs.count()
-    n_e = mentions.groupBy("kind", "entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    near = mentions.select("kind", "entity", F.explode("near").alias("term"))
-    n_et = near.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = cut(n_et.join(n_e, ["kind", "entity"]), "cooccur")
-    n_t = docs.select(F.explode(terms_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    wanted = pairs.select("term").distinct()
-    counted = pairs.join(n_t.join(wanted, "term"), "term")
-    log = lambda x: F.log2(x.cast("double"))
-    n = F.lit(float(max(total, 1)))
-    pmi = log(n) + log(F.col("n_et")) - log(F.col("n_e")) - log(F.col("n_t"))
-    return counted.where((F.col("n_e") < total) & (pmi >= F.lit(alpha) * (log(n) - log(F.col("n_e"))))).select("kind", "entity", "term")
-
-
-def whole_disclosing_terms(held: DataFrame, holding: DataFrame, docs: DataFrame, alpha: float, support: int) -> DataFrame:
-    """(kind, entity, term) whose mutual information passes the threshold, with terms of whole documents.
-
-    held: one row for each entity of each document, with ``own``, the terms of its values; holding: the documents.
+    held: one row for each entity of each document, with ``own``, the terms of its values; holding: the documents with a base span.
     """
     total = docs.count()
     n = F.lit(float(max(total, 1)))
@@ -162,57 +141,61 @@ def whole_disclosing_terms(held: DataFrame, holding: DataFrame, docs: DataFrame,
     # A little above the bound, as powers are rounded.
     n_e = cut(n_e.withColumn("most", F.pow("n_e", F.lit(alpha)) * F.pow(n, F.lit(1 - alpha)) * 1.000001), "often")
     top = n_e.agg(F.max("most")).first()[0] or 0.0
-    n_t = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = cut(n_t.where((F.col("n_t") >= support) & (F.col("n_t") <= top)), "term_counts")
-    held = held.join(n_e, ["kind", "entity"]).withColumnsRenamed({"id": "id2", "key": "key2"})
+    held = cut(held.join(small(n_e), ["kind", "entity"]), "held")
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
-    texts = holding.select("id", "key", "text").join(held.select("id2", "key2").distinct(), same, "left_semi").dropDuplicates(["id", "key"])
-    words = texts.select("id", "key", F.explode(terms_of(F.col("text"))).alias("term")).join(n_t, "term")
-    pairs = words.join(held, same).where((F.col("n_t") <= F.col("most")) & ~F.array_contains("own", F.col("term")))
+    holders = cut(held.select(F.col("id").alias("id2"), F.col("key").alias("key2")).distinct(), "holders")
+    texts = holding.join(small(holders), same, "left_semi").select("id", "key", F.explode(terms_of(F.col("text"))).alias("term"))
+    texts = cut(texts, "holder_terms")
+    wanted = cut(texts.select("term").distinct(), "wanted_terms")
+    n_t = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).join(small(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = cut(n_t.where((F.col("n_t") >= support) & (F.col("n_t") <= top)), "term_counts")
+    pairs = texts.join(small(n_t), "term").join(held.withColumnsRenamed({"id": "id2", "key": "key2"}), same)
+    pairs = pairs.where((F.col("n_t") <= F.col("most")) & ~F.array_contains("own", F.col("term")))
     counted = pairs.groupBy("kind", "entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     log = lambda x: F.log2(x.cast("double"))
     pmi = log(n) + log(F.col("n_et")) - log(F.col("n_e")) - log(F.col("n_t"))
-    return counted.where(pmi >= F.lit(alpha) * (log(n) - log(F.col("n_e")))).select("kind", "entity", "term")
+    told = cut(counted.where(pmi >= F.lit(alpha) * (log(n) - log(F.col("n_e")))).select("kind", "entity", "term"), "disclosing")
+    discard(n_e, held, holders, texts, wanted, n_t)
+    return told
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, reach: int | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``docs`` with base (spans), spans (base and term spans) and safe_text."""
-    text, key, base, extra = (free_name(docs, x) for x in ("pii_text", "pii_key", "base", "term_spans"))
-    rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.withColumn(key, F.xxhash64(F.col(text), F.lit(0)))
-    own = rows.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(text).alias("text"))
-    holding = base_spans(own, "text", "base").where(F.size("base") > 0)
+    own = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    own = own.select("id", F.xxhash64("text", F.lit(0)).alias("key"), "text")
+    holding = cut(base_spans(own, "text", "base").where(F.size("base") > 0).dropDuplicates(["id", "key"]), "holding")
 
-    same = lambda a, b: F.col("id").eqNullSafe(F.col(a)) & (F.col("key") == F.col(b))
     entity = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.when(F.col("s.kind") == 1, F.col("s.value")).otherwise(digits(F.col("s.value"))))
-    single = holding.select("id", "key", "text", F.explode("base").alias("s"))
-    by_entity = ["id", "key", "kind", "entity"]
-    if reach is None:
-        # The terms of the values themselves, as "mail" and "com" of an address, reveal nothing more.
-        values = single.select("id", "key", F.col("s.kind").alias("kind"), entity.alias("entity"), terms_of(F.col("s.value")).alias("own"))
-        held = cut(values.groupBy(*by_entity).agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")), "mentions")
-        told = cut(whole_disclosing_terms(held, holding, own, alpha, support), "disclosing")
-        here = own.select("id", "key", F.explode(terms_of(F.col("text"))).alias("term")).join(told.select("term").distinct(), "term").select("id", "key", "term").distinct()
-    else:
-        around = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - reach, F.lit(0)).cast("int") + 1, (F.least(s["start"], F.lit(reach)) + s["end"] - s["start"] + reach).cast("int"))
-        near = F.array_except(terms_of(around(F.col("s"))), terms_of(F.col("s.value")))
-        single = single.select("id", "key", F.col("s.kind").alias("kind"), entity.alias("entity"), near.alias("near"))
-        mentions = cut(single.groupBy(*by_entity).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "mentions")
-        told = cut(disclosing_terms(mentions, own, "text", alpha, support), "disclosing")
-        here = mentions.select(*by_entity, F.explode("near").alias("term")).join(told, ["kind", "entity", "term"]).select("id", "key", "term").distinct()
-    here = cut(here, "doc_terms")
-    carriers = here.select("id", "key").distinct().withColumnsRenamed({"id": "id2", "key": "key2"})
-    texts = own.join(carriers, same("id2", "key2"), "left_semi").dropDuplicates(["id", "key"])
+    single = holding.select("id", "key", F.explode("base").alias("s"))
+    # The terms of the values themselves, as "mail" and "com" of an address, reveal nothing more.
+    values = single.select("id", "key", F.col("s.kind").alias("kind"), entity.alias("entity"), terms_of(F.col("s.value")).alias("own"))
+    held = cut(values.groupBy("id", "key", "kind", "entity").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")), "mentions")
+    told = disclosing_terms(held, holding, own, alpha, support)
+    terms = small(cut(told.select(F.col("term").alias("told")).distinct(), "told_terms"))
+
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
+    here = own.select("id", "key", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, F.col("term") == F.col("told"))
+    carriers = cut(here.select(F.col("id").alias("id2"), F.col("key").alias("key2")).distinct(), "carriers")
+    texts = own.join(small(carriers), same, "left_semi")
     words = texts.withColumn("found", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
-    words = words.select("id", "key", F.explode(_placed(F.col("text"), F.col("found"), TERM, TERM_KIND)).alias("s")).withColumn("term", F.lower("s.value"))
-    hits = words.join(here.withColumnsRenamed({"id": "id2", "key": "key2", "term": "term2"}), same("id2", "key2") & (F.col("term") == F.col("term2")), "left_semi")
-    spans = hits.groupBy(F.col("id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("s").alias(extra))
-
-    full = base_spans(rows, text, base).join(spans, F.col(id_col).eqNullSafe(F.col("id2")) & (F.col(key) == F.col("key2")), "left").drop("id2", "key2")
-    merged = F.array_sort(F.concat(F.col(base), F.coalesce(F.col(extra), F.array().cast(SPAN))))
-    spans_col = free_name(docs, "spans")
-    full = redact(full.withColumn(spans_col, merged), text, spans_col, free_name(docs, "safe_text"))
-    return full.drop(text, key, extra)
+    words = words.select("id", "key", F.explode(_placed(F.col("text"), F.col("found"), TERM, TERM_KIND)).alias("s"))
+    hits = words.join(terms, F.lower("s.value") == F.col("told"))
+    # Rows of one document have the same hits.
+    extra = hits.groupBy("id", "key").agg(F.collect_set("s").alias("extra"))
+    none = F.array().cast(SPAN)
+    kept = holding.select("id", "key", "base", none.alias("extra")).unionByName(extra.select("id", "key", none.alias("base"), "extra"))
+    found = kept.groupBy("id", "key").agg(F.flatten(F.collect_list("base")).alias("base"), F.flatten(F.collect_list("extra")).alias("extra"))
+    found = cut(found, "spans")
+
+    text, key, id2, key2, extras = (free_name(docs, x) for x in ("pii_text", "pii_key", "pii_id2", "pii_key2", "pii_extra"))
+    base, spans = free_name(docs, "base"), free_name(docs, "spans")
+    rows = docs.withColumn(text, F.coalesce(named(text_col), F.lit("")))
+    rows = rows.withColumn(key, F.xxhash64(F.col(text), F.lit(0)))
+    found = small(found).select(F.col("id").alias(id2), F.col("key").alias(key2), F.col("base").alias(base), F.col("extra").alias(extras))
+    full = rows.join(found, named(id_col).eqNullSafe(F.col(id2)) & (F.col(key) == F.col(key2)), "left")
+    full = full.withColumn(base, F.coalesce(base, none))
+    full = full.withColumn(spans, F.array_sort(F.concat(F.col(base), F.coalesce(extras, none))))
+    return redact(full, text, spans, free_name(docs, "safe_text")).drop(text, key, id2, key2, extras)
 
 
 def redact(rows: DataFrame, text: str, spans: str, into: str) -> DataFrame:

@@ -59,21 +59,13 @@ FROM p JOIN bits USING (hex) JOIN g USING (hex)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms within REACH of a mention, as PII_SQL has them."""
-    return pii_spans(pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=pii.REACH))
-
-
-def op4_pii_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms anywhere in the documents of an entity, marked in every document."""
-    return pii_spans(pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def pii_spans(docs: DataFrame) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     digest = F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return docs.select("doc_id", *map(count, pii.FORMS), digest, pii.span_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.FORMS), digest, pii.span_text(F.col("spans")).alias("spans"))
 
 
+# Terms are judged by whole documents and marked in every document.
 PII_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 raw AS (
@@ -92,25 +84,22 @@ base AS (
     WHEN 'card' THEN length(ds) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(ds)), lambda j:
       CASE WHEN j % 2 = 0 THEN ds[length(ds) - j]::INTEGER ELSE (2 * ds[length(ds) - j]::INTEGER) % 10 + (2 * ds[length(ds) - j]::INTEGER) // 10 END)) % 10 = 0
     ELSE length(ds) BETWEEN 10 AND 15 END),
-near AS (
-  SELECT r, kind, CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE ds END AS entity, term FROM (
-    SELECT r, kind, v, ds, unnest(regexp_extract_all(lower(substring(text, (greatest(start - {pii.REACH}, 0) + 1)::BIGINT, (least(start, {pii.REACH}) + stop - start + {pii.REACH})::BIGINT)), '[\p{{L}}\p{{N}}]+')) AS term FROM base)
-  WHERE NOT list_contains(regexp_extract_all(lower(v), '[\p{{L}}\p{{N}}]+'), term)),
-held AS (SELECT DISTINCT r, kind, CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE ds END AS entity FROM base),
+values_of AS (SELECT r, kind, CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE ds END AS entity, regexp_extract_all(lower(v), '[\p{{L}}\p{{N}}]+') AS own FROM base),
+held AS (SELECT r, kind, entity, flatten(list(own)) AS own FROM values_of GROUP BY r, kind, entity),
 n_e AS (SELECT kind, entity, count(*) AS n_e FROM held GROUP BY ALL HAVING count(*) >= {pii.SUPPORT}),
-n_et AS (SELECT kind, entity, term, count(DISTINCT r) AS n_et FROM near GROUP BY ALL HAVING count(DISTINCT r) >= {pii.SUPPORT}),
-n_t AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM d) GROUP BY term),
+terms AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM d),
+n_t AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
+n_et AS (SELECT kind, entity, term, count(*) AS n_et FROM held JOIN n_e USING (kind, entity) JOIN terms USING (r) WHERE NOT list_contains(own, term) GROUP BY ALL HAVING count(*) >= {pii.SUPPORT}),
 told AS (
-  SELECT kind, entity, term FROM n_et JOIN n_e USING (kind, entity) JOIN n_t USING (term), (SELECT count(*)::DOUBLE AS n FROM d)
+  SELECT DISTINCT term FROM n_et JOIN n_e USING (kind, entity) JOIN n_t USING (term), (SELECT count(*)::DOUBLE AS n FROM d)
   WHERE n_e < n AND log2(n) + log2(n_et) - log2(n_e) - log2(n_t) >= {pii.ALPHA} * (log2(n) - log2(n_e))),
-doc_terms AS (SELECT DISTINCT r, term FROM near JOIN told USING (kind, entity, term)),
 words AS (
   SELECT r, v, sum(length(gap) + length(v)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
     SELECT r, unnest(m) AS v, unnest(g[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM (
-      SELECT r, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS m, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS g FROM d WHERE r IN (SELECT r FROM doc_terms)))),
+      SELECT r, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS m, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS g FROM d))),
 spans AS (
   SELECT r, kind, no, start, stop FROM base
-  UNION ALL SELECT words.r, 'term', 4, stop - length(v), stop FROM words JOIN doc_terms ON words.r = doc_terms.r AND lower(v) = term),
+  UNION ALL SELECT r, 'term', 4, stop - length(v), stop FROM words WHERE lower(v) IN (SELECT term FROM told)),
 told_spans AS (
   SELECT r, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) AS spans,
     string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) FILTER (WHERE no < 4) AS base,
@@ -205,5 +194,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op4_pii_whole": op4_pii_whole, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
 ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
