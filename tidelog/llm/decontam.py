@@ -13,18 +13,23 @@ as in Wu and Manber's multi-pattern search, with words for characters and blocks
 
 The search runs in many lanes at a time, each over some hundreds of window ends, in numpy.
 
-The benchmark goes to the executors in blocks of at most ``block_bytes`` of text, one after the
-other, so its size bounds no memory; documents are never shuffled.
+The tables of a block of at most ``block_bytes`` of benchmark text go to the executors: one buffer
+of words, and for each pattern a key, a place in the buffer and an item, about ten times the
+text's bytes, with a shift table of eight slots a pattern. Of a larger benchmark each block is searched by a pass
+over the texts, which writes what it found by the text's hash, and the last pass takes that
+in. Documents are never shuffled, unless the documents hit by earlier blocks are too many to broadcast.
 
 Defined results: null or wordless texts have no words and no hits; null items have no pattern;
 an item_id that stands in several rows counts once. A document is contaminated if it has a hit
-word and 20 * n_hit >= n_words. Extra columns stay.
+word and 20 * n_hit >= n_words. Extra columns stay, whatever their names. An empty table gives an
+empty table, an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidelog.llm.arrays import U64, Texts, byte_class, counts_per_text, mix, runs, slices, span_hashes
-from tidelog.llm.kit import add_columns, cut, free_name, row_lists
+from tidelog.llm.kit import add_columns, cut, free_name, named, row_lists, small
 
 WINDOW = 13
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 LANE = 512
-TABLE_BITS = 20
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 @cache
@@ -55,25 +60,39 @@ def words_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, starts, ends, owner, span_hashes(data, starts, ends)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0x9FB21C651E98DF25) + b)
+
+
+@dataclass
+class Words:
+    """The words of a benchmark's items, each followed by a space in ``data``; their starts, ends and hashes."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+
+
 class Patterns:
-    """The tables of all patterns of one length, in words."""
-
-    def __init__(self, length: int, found: dict[bytes, tuple[np.ndarray, set[str]]]) -> None:
-        self.length, self.block = length, min(2, length)
-        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, dtype=np.uint8)
-        self.buckets: dict[int, list[tuple[int, bytes, list[str]]]] = {}
-        for text, (hashes, items) in found.items():
-            blocks = self.blocks(hashes, np.arange(self.block - 1, length))
-            slots = (blocks & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
-            np.minimum.at(self.shift, slots, np.arange(length - self.block, -1, -1).astype(np.uint8))
-            self.buckets.setdefault(int(blocks[-1]), []).append((int(blocks[0]), text, sorted(items)))
-        self.suffixes = np.sort(np.array(list(self.buckets), dtype=U64))
+    """The tables of all patterns of one length, in words: those that begin at the words ``first`` of items ``item``."""
+
+    def __init__(self, length: int, words: Words, first: np.ndarray, item: np.ndarray, names: list[str]) -> None:
+        self.length, self.block, self.names, self.data = length, min(2, length), names, words.data
+        bits = min(max(int(8 * len(first)).bit_length(), LEAST_BITS), MOST_BITS)
+        self.mask = U64((1 << bits) - 1)
+        self.shift = np.full(1 << bits, length - self.block + 1, dtype=np.uint8)
+        # Later blocks have smaller shifts, which so prevail.
+        for k in range(self.block - 1, length):
+            self.shift[(self.blocks(words.hashes, first + k) & self.mask).astype(np.int64)] = length - 1 - k
+        key = _pair(self.blocks(words.hashes, first + length - 1), self.blocks(words.hashes, first + self.block - 1))
+        order = np.argsort(key, kind="stable")
+        self.keys, self.item = key[order], item[order].astype(np.int32)
+        self.start, self.end = words.starts[first][order], words.ends[first + length - 1][order]
 
     def blocks(self, hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The hash of the block that ends in each word ``last``."""
-        if self.block == 1:
-            return hashes[last]
-        return mix(hashes[last - 1] * U64(0x9FB21C651E98DF25) + hashes[last])
+        return hashes[last] if self.block == 1 else _pair(hashes[last - 1], hashes[last])
 
     def search(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, list[str]]]:
         """Last word and items of every occurrence; text i has the words first[i] up to first[i + 1]."""
@@ -83,30 +102,27 @@ class Patterns:
         nth = np.arange(len(which)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = begin[which] + nth * LANE
         stop = np.minimum(at + LANE, end[which])
-        mask = U64((1 << TABLE_BITS) - 1)
         near = []
         while len(at):
-            blocks = self.blocks(hashes, at)
-            shift = self.shift[(blocks & mask).astype(np.int64)]
-            hit = shift == 0
-            if hit.any():
-                p, b = at[hit], blocks[hit]
-                k = np.minimum(np.searchsorted(self.suffixes, b), len(self.suffixes) - 1)
-                near.append(p[self.suffixes[k] == b])
+            shift = self.shift[(self.blocks(hashes, at) & self.mask).astype(np.int64)]
+            near.append(at[shift == 0])
             at = at + np.maximum(shift, 1)
             go = at < stop
             at, stop = at[go], stop[go]
         if not near:
             return
         near = np.concatenate(near)
-        suffix, prefix = self.blocks(hashes, near), self.blocks(hashes, near - self.length + self.block)
-        for p, s, f in zip(near.tolist(), suffix.tolist(), prefix.tolist(), strict=True):
-            text = None
-            for start, pattern, items in self.buckets[s]:
-                if start == f:
-                    text = text or _joined(data, starts, ends, p - self.length + 1, p + 1)
-                    if text == pattern:
-                        yield p, items
+        key = _pair(self.blocks(hashes, near), self.blocks(hashes, near - self.length + self.block))
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        some = high > low
+        met: dict[int, tuple[bytes, list[str]]] = {}
+        for p, a, b in zip(near[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+            text = _joined(data, starts, ends, p - self.length + 1, p + 1)
+            if a not in met or met[a][0] != text:
+                same = (k for k in range(a, b) if self.data[self.start[k] : self.end[k]].tobytes() == text)
+                met[a] = text, sorted({self.names[self.item[k]] for k in same})
+            if met[a][1]:
+                yield p, met[a][1]
 
 
 def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> bytes:
@@ -115,15 +131,28 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: i
 
 def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
     """Tables for the items (id, text), one for each length of pattern."""
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, set[str]]]] = {}
-    for name, text in items:
-        for texts in slices(pa.array([text], pa.string()), 1 << 62):
-            data, starts, ends, _, hashes = words_of(texts)
-            size = min(window, len(starts))
-            for i in range(len(starts) - size + 1 if size else 0):
-                key = _joined(data, starts, ends, i, i + size)
-                by_length.setdefault(size, {}).setdefault(key, (hashes[i : i + size], set()))[1].add(name)
-    return [Patterns(n, found) for n, found in sorted(by_length.items())]
+    names = [name for name, _ in items]
+    parts, owners, at = [], [], 0
+    for texts in slices(pa.array([text for _, text in items], pa.string())):
+        data, starts, ends, owner, hashes = words_of(texts)
+        sizes = ends - starts
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        joined = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        joined[np.repeat(begin, sizes) + within] = data[np.repeat(starts, sizes) + within]
+        parts.append((joined, begin + at, begin + sizes + at, hashes))
+        owners.append(owner + texts.first)
+        at += len(joined)
+    if not parts:
+        return []
+    words, owner = Words(*(np.concatenate(x) for x in zip(*parts, strict=True))), np.concatenate(owners)
+    n = np.bincount(owner, minlength=len(items))
+    length = np.minimum(n, window)
+    # Where a pattern can begin: so many words before its item's end.
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(owner))
+    first = np.flatnonzero(left >= length[owner])
+    of = length[owner[first]]
+    return [Patterns(int(m), words, first[of == m], owner[first[of == m]], names) for m in np.unique(of)]
 
 
 def _search_batch(tables: list[Patterns], column: pa.Array, prior: tuple[list, list] | None) -> list[pa.Array]:
@@ -159,7 +188,8 @@ def _search_batch(tables: list[Patterns], column: pa.Array, prior: tuple[list, l
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The benchmark's items, some megabytes at a time."""
     block, size = [], 0
-    for name, text in benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).toLocalIterator():
+    rows = benchmark.select(named(id_col).cast("string").alias("id"), named(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    for name, text in rows.toLocalIterator():
         if block and size + len(text) > block_bytes:
             yield block
             block, size = [], 0
@@ -178,35 +208,46 @@ def overlaps(
     sorted, of the items that occur.
     """
     spark = docs.sparkSession
-    n_words, hits, items = (free_name(docs, x) for x in ("n_words", "hits", "items"))
+    n_words, hits, items, n_hit, *prior = (free_name(docs, x) for x in ("n_words", "hits", "items", "n_hit", "hit_h1", "hit_h2", "hit_ranges", "hit_items"))
     pair = StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])
-    fields = [StructField(n_words, LongType()), StructField(hits, ArrayType(pair)), StructField(items, ArrayType(StringType()))]
-    columns, at = docs.columns, docs.columns.index(text_col)
+    fields = [StructField("n_words", LongType()), StructField("hits", ArrayType(pair)), StructField("items", ArrayType(StringType()))]
     blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
-    block, following = next(blocks), next(blocks, None)
-    out, later = docs, False
-    while block is not None:
+    block, following, earlier = next(blocks), next(blocks, None), []
+    hashes = lambda x: [F.xxhash64(x, F.lit(seed)) for seed in (1, 2)]
+    while following is not None:
         tables = spark.sparkContext.broadcast(compile_patterns(block, window))
-        final = following is None
-        kept = keep if final and keep is not None else columns
-        out = add_columns(out, fields, _searcher(tables, at, len(columns) if later else None), kept)
-        out = out if final else cut(out, "overlaps")
-        block, following, later = following, None if final else next(blocks, None), True
-    n_hit = F.aggregate(hits, F.lit(0).cast("long"), lambda total, r: total + r["stop"] - r["start"])
-    out = out.withColumn(free_name(docs, "n_hit"), n_hit)
-    return out.withColumn(free_name(docs, "contaminated"), contaminated(F.col(free_name(docs, "n_hit")), F.col(n_words)))
+        found = add_columns(docs.select(named(text_col).alias("text")), fields, _searcher(tables, 0, False)).where(F.size("items") > 0)
+        found = found.select(*(h.alias(n) for h, n in zip(hashes(F.col("text")), ("h1", "h2"), strict=True)), "hits", "items")
+        # Equal texts have equal hits.
+        earlier.append(cut(found.groupBy("h1", "h2").agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "overlaps"))
+        tables.destroy()
+        block, following = following, next(blocks, None)
+    rows, kept = docs, docs.columns if keep is None else keep
+    if earlier:
+        met = reduce(DataFrame.unionByName, earlier).groupBy("h1", "h2")
+        met = cut(met.agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items")), "overlaps")
+        met = small(met).toDF(*prior)
+        same = [h == F.col(n) for h, n in zip(hashes(named(text_col)), prior[:2], strict=True)]
+        rows = docs.join(met, same[0] & same[1], "left").select(*map(named, docs.columns), *prior[2:])
+    tables = spark.sparkContext.broadcast(compile_patterns(block, window))
+    fields = [StructField(name, f.dataType) for name, f in zip((n_words, hits, items), fields, strict=True)]
+    out = add_columns(rows, fields, _searcher(tables, docs.columns.index(text_col), bool(earlier)), kept)
+    out = out.withColumn(n_hit, F.aggregate(hits, F.lit(0).cast("long"), lambda total, r: total + r["stop"] - r["start"]))
+    return out.withColumn(free_name(docs, "contaminated"), contaminated(F.col(n_hit), F.col(n_words)))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _searcher(tables, at: int, prior_at: int | None):
+def _searcher(tables, at: int, with_prior: bool):
+    """The columns of _search_batch; with earlier blocks' ranges and items in the batch's last two columns."""
+
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         prior = None
-        if prior_at is not None:
-            ranges = batch.column(prior_at + 1).to_pylist()
-            prior = [[(r["start"], r["stop"]) for r in x] for x in ranges], batch.column(prior_at + 2).to_pylist()
+        if with_prior:
+            ranges, items = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+            prior = [[(r["start"], r["stop"]) for r in x or ()] for x in ranges], [x or () for x in items]
         return _search_batch(tables.value, batch.column(at), prior)
 
     return make
