@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidelog.llm.kit import map_parts
-from tidelog.llm.template import Edge, compile_template
+from tidelog.llm.template import Edge, Turns, compile_template
 from tidelog.plans.shipping import map_batches
 
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE]")
@@ -113,7 +113,7 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
                     yield {"role": r[2], "content": r[3]}
 
             text, spans, at, opened, n = [], [], 0, 0, 0
-            for piece in renderer(template)({"messages": messages()}):
+            for piece in renderer(template)({"messages": Turns(messages())}):
                 if asked[0] > n + 2:
                     yield conv_id, n, "".join(text), spans
                     text, spans, at, n = [], [], 0, n + 1

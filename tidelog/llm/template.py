@@ -4,19 +4,25 @@ The language is a sandboxed part of the usual template notation: ``{{ expression
 ``{% for x in e %} {% else %} {% endfor %}``, ``{% if %} {% elif %} {% else %} {% endif %}``,
 ``{% set x = e %}``, ``{% generation %} {% endgeneration %}`` and ``{# comment #}``; a hyphen
 inside a mark strips the white space beside it. Expressions know strings, integers, true, false,
-none, names, ``a.b`` and ``a[b]`` on mappings and sequences only, ``or and not``, comparisons,
-``in``, ``+ - * % ~``, conditional expressions and the filters given. No Python attribute can be
-reached and nothing can be called.
+none, names, ``a.b``, ``a[b]`` and ``a[b:c]`` on mappings and sequences only, ``or and not``, comparisons,
+``in``, ``not in``, tests (``is defined``, ``is none``, ``is string``, ``is mapping``, each with ``not``),
+``+ - * % ~``, conditional expressions and the filters given. No Python attribute can be
+reached and nothing can be called but ``raise_exception(text)``, which ends the rendering with a
+TemplateError, as does every operation on values that it doesn't fit. Numbers are kept within 64
+bits and what ``* + ~`` make within LONGEST characters, so a template can't allocate at will.
 
 Constant expressions are folded, branches on constants are dropped and neighbouring texts joined
 before closures are made. A rendered template yields its pieces as they come, and loops draw from
-iterators, so a conversation of any length needs the memory of a turn.
+iterators, so a conversation of any length needs the memory of a turn. Such turns (``Turns``) can be
+gone through once; before that the first few can be looked at (``messages[0]``) or left out
+(``messages[1:]``); whatever else would need them all is a TemplateError.
 """
 
 from __future__ import annotations
 
 import operator
 import re
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from enum import Enum
@@ -26,6 +32,50 @@ class TemplateError(ValueError):
     """The template doesn't follow the grammar, or asks for something that isn't allowed."""
 
 
+class Turns:
+    """Values that are drawn once and in order, of which the first AHEAD can be looked at before."""
+
+    AHEAD = 16
+
+    def __init__(self, values: Iterator, source: Turns | None = None, skipped: int = 0) -> None:
+        self.values, self.source, self.skipped = values, source or self, skipped
+        self.head: deque = deque()
+        self.begun = False
+
+    def peek(self, k: int) -> object:
+        """The k-th value, none if there are fewer."""
+        k, source = k + self.skipped, self.source
+        if source.begun or not self.skipped <= k < self.AHEAD:
+            raise TemplateError("only the first turns can be looked at, and before the loop over them")
+        while len(source.head) <= k and (value := next(source.values, source)) is not source:
+            source.head.append(value)
+        return source.head[k] if k < len(source.head) else None
+
+    def after(self, k: int) -> Turns:
+        """The values without the first k."""
+        if not 0 <= k < self.AHEAD:
+            raise TemplateError("only the first turns can be left out")
+        return Turns(self.values, self.source, self.skipped + k)
+
+    def __bool__(self) -> bool:
+        return self.peek(0) is not None
+
+    def __iter__(self) -> Iterator:
+        source = self.source
+        if source.begun:
+            raise TemplateError("turns can be gone through once")
+        source.begun = True
+        for k, value in enumerate(self._all()):
+            if k >= self.skipped:
+                yield value
+
+    def _all(self) -> Iterator:
+        head = self.source.head
+        while head:
+            yield head.popleft()
+        yield from self.source.values
+
+
 class Edge(Enum):
     """What a renderer yields around text that the model is to learn to generate."""
 
@@ -43,20 +93,70 @@ class Node:
 
 
 MARK = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{-?\s*(.*?)\s*-?\}\}|\{#.*?#\}", re.S)
-WORD = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+*%~<>().,\[\]|=]))""", re.S)
+WORD = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+*%~<>().,:\[\]|=]))""", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 CONSTANTS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 LEVELS = [("or",), ("and",), ("not",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "~"), ("*", "%")]
-BINARY = {
-    "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b,
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: f"{text_of(a)}{text_of(b)}",
+LONGEST, WIDEST = 1 << 28, 1 << 63
+TESTS = {
+    "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, Mapping),
+    "number": lambda x: type(x) is int, "boolean": lambda x: isinstance(x, bool), "defined": None, "undefined": None,
 }
 
 
 def text_of(value: object) -> str:
+    if isinstance(value, Turns):
+        raise TemplateError("turns have no text")
     return "" if value is None else str(value)
 
 
+def _times(a: object, b: object) -> object:
+    for x, n in ((a, b), (b, a)):
+        if isinstance(x, str) and type(n) is int and len(x) * n > LONGEST:
+            raise TemplateError("a text too long")
+    return a * b
+
+
+def _modulo(a: object, b: object) -> object:
+    if type(a) is not int or type(b) is not int:
+        raise TemplateError("% needs numbers")
+    return a % b
+
+
+def _joined(a: object, b: object) -> str:
+    return text_of(a) + text_of(b)
+
+
+def _contains(a: object, b: object) -> bool:
+    if isinstance(b, Turns):
+        raise TemplateError("turns can't be searched")
+    return a in b
+
+
+def bounded(f: Callable[[object, object], object]) -> Callable[[object, object], object]:
+    """``f`` with its errors as TemplateErrors, and its results kept small."""
+
+    def run(a: object, b: object) -> object:
+        try:
+            value = f(a, b)
+        except (TypeError, ValueError, ArithmeticError, MemoryError) as e:
+            raise e if isinstance(e, TemplateError) else TemplateError(str(e)) from None
+        if isinstance(value, (str, list, tuple)) and len(value) > LONGEST or type(value) is int and abs(value) >= WIDEST:
+            raise TemplateError("a value too large")
+        return value
+
+    return run
+
+
+BINARY = {
+    word: bounded(f)
+    for word, f in {
+        "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": _contains,
+        "not in": lambda a, b: not _contains(a, b), "+": operator.add, "-": operator.sub, "*": _times, "%": _modulo, "~": _joined,
+    }.items()
+}
+
+
 class Expression:
     """A parser of one expression, by precedence."""
 
@@ -104,9 +204,23 @@ class Expression:
                 return Node("not", None, [self.level(k)])
             return self.level(k + 1)
         node = self.level(k + 1)
-        while self.peek() in LEVELS[k]:
-            node = Node("binary", self.take(), [node, self.level(k + 1)])
-        return node
+        while True:
+            if self.peek() in LEVELS[k]:
+                node = Node("binary", self.take(), [node, self.level(k + 1)])
+            elif "in" in LEVELS[k] and self.peek() == "not":
+                self.take()
+                self.take("in")
+                node = Node("binary", "not in", [node, self.level(k + 1)])
+            elif "in" in LEVELS[k] and self.peek() == "is":
+                self.take()
+                against = self.peek() == "not" and bool(self.take())
+                test = self.take()
+                if test not in TESTS:
+                    raise TemplateError(f"no test {test}")
+                node = Node("is", test, [node])
+                node = Node("not", None, [node]) if against else node
+            else:
+                return node
 
     def filtered(self) -> Node:
         node = self.term()
@@ -115,7 +229,12 @@ class Expression:
             if mark == ".":
                 node = Node("item", None, [node, Node("const", self.take())])
             elif mark == "[":
-                node = Node("item", None, [node, self.conditional()])
+                start = Node("const") if self.peek() == ":" else self.conditional()
+                if self.peek() == ":":
+                    self.take()
+                    node = Node("slice", None, [node, start, Node("const") if self.peek() == "]" else self.conditional()])
+                else:
+                    node = Node("item", None, [node, start])
                 self.take("]")
             else:
                 node = Node("filter", self.take(), [node])
@@ -130,8 +249,15 @@ class Expression:
             return Node("const", int(word))
         if word in CONSTANTS:
             return Node("const", CONSTANTS[word])
+        if kind == "name" and word == "raise_exception" and self.peek() == "(":
+            self.take()
+            node = Node("raise", None, [self.conditional()])
+            self.take(")")
+            return node
         if kind == "name":
             return Node("name", word)
+        if kind == "op" and word == "-":
+            return Node("binary", "-", [Node("const", 0), self.filtered()])
         if word == "(":
             node = self.conditional()
             self.take(")")
@@ -195,7 +321,7 @@ def fold(node: Node, filters: Mapping[str, Callable]) -> Node:
         raise TemplateError(f"no filter {node.value}")
     if node.kind == "choose" and node.parts[0].kind == "const":
         return node.parts[1] if node.parts[0].value else node.parts[2]
-    if node.parts and all(x.kind == "const" for x in node.parts):
+    if node.kind != "raise" and node.parts and all(x.kind == "const" for x in node.parts):
         return Node("const", evaluate(node, filters)({}))
     return node
 
@@ -239,8 +365,18 @@ def evaluate(node: Node, filters: Mapping[str, Callable]) -> Callable[[dict], ob
         return lambda env, name=node.value: env.get(name)
     if node.kind == "item":
         return lambda env, a=parts[0], b=parts[1]: item(a(env), b(env))
+    if node.kind == "slice":
+        return lambda env, a=parts[0], b=parts[1], c=parts[2]: part_of(a(env), b(env), c(env))
     if node.kind == "filter":
-        return lambda env, f=filters[node.value], a=parts[0]: f(a(env))
+        return lambda env, f=filters[node.value], a=parts[0]: filtered(f, a(env))
+    if node.kind == "is":
+        return _test(node, parts[0])
+    if node.kind == "raise":
+
+        def fail(env: dict) -> None:
+            raise TemplateError(text_of(parts[0](env)))
+
+        return fail
     if node.kind == "not":
         return lambda env, a=parts[0]: not a(env)
     if node.kind == "choose":
@@ -253,12 +389,47 @@ def evaluate(node: Node, filters: Mapping[str, Callable]) -> Callable[[dict], ob
 def item(value: object, key: object) -> object:
     """value[key] of a mapping or sequence, none if it isn't there."""
     if isinstance(value, Mapping):
-        return value.get(key)
+        return value.get(key) if isinstance(key, (str, int)) else None
+    if isinstance(value, Turns):
+        if type(key) is not int:
+            raise TemplateError("turns are numbered")
+        return value.peek(key)
     if isinstance(value, (list, tuple, str)) and type(key) is int:
         return value[key] if -len(value) <= key < len(value) else None
     return None
 
 
+def part_of(value: object, start: object, stop: object) -> object:
+    """value[start:stop] of a sequence, none of anything else; of turns only a slice without an end."""
+    if any(x is not None and type(x) is not int for x in (start, stop)):
+        raise TemplateError("slices need numbers")
+    if isinstance(value, Turns):
+        if stop is not None:
+            raise TemplateError("turns can't be cut at their end")
+        return value.after(start or 0)
+    return value[start:stop] if isinstance(value, (list, tuple, str)) else None
+
+
+def filtered(f: Callable, value: object) -> object:
+    """A filter's result; turns are too many for any."""
+    if isinstance(value, Turns):
+        raise TemplateError("turns can't be filtered")
+    try:
+        return f(value)
+    except (TypeError, ValueError) as e:
+        raise TemplateError(str(e)) from None
+
+
+def _test(node: Node, value: Callable[[dict], object]) -> Callable[[dict], object]:
+    """A closure for ``x is test``; a name is defined if it is set, an item if it is there and not none."""
+    if node.value in ("defined", "undefined"):
+        wanted, inner = node.value == "defined", node.parts[0]
+        if inner.kind == "name":
+            return lambda env, name=inner.value: (name in env) == wanted
+        return lambda env: (value(env) is not None) == wanted
+    return lambda env, test=TESTS[node.value]: test(value(env))
+
+
 def generate(nodes: list[Node], filters: Mapping[str, Callable]) -> Callable[[dict], Iterator[object]]:
     """A closure from the variables to the pieces of the statements' output."""
     steps = [_step(x, filters) for x in nodes]
