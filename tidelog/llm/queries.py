@@ -165,7 +165,77 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.fit(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    judged = url_filter.judge(pages, url_filter.fit(pages), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def _smoothed(kind: int, fold: str) -> str:
+    """The probability of a symbol under the model ``kind``, with or without the hosts held back, from the counts of its contexts."""
+    p = "(1::DOUBLE / 64)"
+    for k in range(5):
+        n, total, kinds = (f"{x}{k}_{kind}{fold}" for x in ("n", "t", "k"))
+        p = f"(CASE WHEN {total} > 0 THEN ({n} + {kinds} * {p}) / ({total} + {kinds}) ELSE {p} END)"
+    return p
+
+
+def _context_counts(fold: str) -> str:
+    """Counts of each gram's symbol after its 0 to 4 earlier ones, all after these, and the symbols seen after them."""
+    where = {"a": "", "f": " AND NOT held"}[fold]
+    out = []
+    for k in range(5):
+        context = ", ".join(f"c{i}" for i in range(1, k + 1))
+        for kind in (0, 1):
+            own = f"FILTER (WHERE bad = {bool(kind)}{where})"
+            over = f"PARTITION BY {context}" if context else ""
+            out += [f"count(r) {own} OVER (PARTITION BY {context + ', ' if context else ''}c) AS n{k}_{kind}{fold}", f"count(r) {own} OVER ({over}) AS t{k}_{kind}{fold}"]
+            out.append(f"count(DISTINCT c) {own} OVER ({over}) AS k{k}_{kind}{fold}")
+    return ",\n    ".join(out)
+
+
+# The models' counts are windows over all characters; equal URLs share a score, in units of 2 ** -36.
+URL_SQL = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, lower(coalesce(url, '')) AS low, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+q AS (
+  SELECT r, page_id, regexp_matches(low, '{url_filter.REJECT}') AS bad, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE url END AS s,
+    CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
+u AS (SELECT *, md5(host)[1] < '4' AS held FROM q),
+bytes AS (SELECT r, bad, held, unnest(range(octet_length(encode(s)))) AS i, hex(encode(s)) AS x FROM u),
+symbols AS (
+  SELECT r, bad, held, i, CASE WHEN b BETWEEN 65 AND 90 THEN b - 64 WHEN b < 128 AND strpos('{url_filter.SYMBOLS.replace("'", "''")}', chr(b)) > 0 THEN strpos('{url_filter.SYMBOLS.replace("'", "''")}', chr(b)) ELSE 63 END AS c
+  FROM (SELECT r, bad, held, i, ('0x' || substr(x, 2 * i + 1, 2))::INTEGER AS b FROM bytes)),
+grams AS (
+  SELECT r, bad, held, i, c, {", ".join(f"coalesce(lag(c, {k}) OVER w, 0) AS c{k}" for k in range(1, 5))} FROM symbols WINDOW w AS (PARTITION BY r ORDER BY i)),
+counted AS (
+  SELECT r, bad, held,
+    {_context_counts("a")},
+    {_context_counts("f")}
+  FROM grams),
+scored AS (
+  SELECT r, sum(round((ln({_smoothed(0, "a")}) - ln({_smoothed(1, "a")})) * {url_filter.UNITS})) / count(*) / {url_filter.UNITS} AS score,
+    sum(round((ln({_smoothed(0, "f")}) - ln({_smoothed(1, "f")})) * {url_filter.UNITS})) / count(*) / {url_filter.UNITS} AS apart FROM counted GROUP BY r),
+have AS (
+  SELECT count(*) FILTER (WHERE bad) > 0 AND count(*) FILTER (WHERE NOT bad) > 0 AS has_both,
+    count(*) FILTER (WHERE bad AND held) > 0 AND count(*) FILTER (WHERE NOT bad AND held) > 0 AND count(*) FILTER (WHERE bad AND NOT held) > 0 AND count(*) FILTER (WHERE NOT bad AND NOT held) > 0 AS usable
+  FROM u WHERE s <> ''),
+places AS (
+  SELECT bad, greatest(least(floor((CASE WHEN usable THEN apart ELSE score END - {url_filter.LOW}) / {url_filter.HIGH - url_filter.LOW} * {url_filter.BINS}), {url_filter.BINS - 1}), 0) AS k
+  FROM u JOIN scored USING (r), have WHERE held OR NOT usable),
+spread AS (SELECT t.k, count(*) FILTER (WHERE p.k < t.k AND NOT bad) AS blocked, count(*) FILTER (WHERE p.k < t.k AND bad) AS caught, count(*) FILTER (WHERE NOT bad) AS n FROM range({url_filter.BINS + 1}) AS t(k), places p GROUP BY t.k),
+best AS (SELECT {url_filter.LOW} + k * {url_filter.HIGH - url_filter.LOW} / {url_filter.BINS} AS threshold FROM spread WHERE blocked <= {url_filter.MAX_FALSE} * greatest(n, 1) ORDER BY caught DESC, k LIMIT 1),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN s <> '' AND has_both AND coalesce(score < (SELECT threshold FROM best), false) THEN 'block' ELSE 'allow' END AS verdict,
+  round(coalesce(score, 0), 6) AS score
+FROM ruled LEFT JOIN scored USING (r), have
+"""
 
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -195,4 +265,4 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_chat": op10_chat}
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op10_chat": CHAT_SQL}
+ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_warc": WARC_SQL, "op4_pii": PII_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op8_url_filter": URL_SQL, "op10_chat": CHAT_SQL}

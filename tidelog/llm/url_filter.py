@@ -5,11 +5,14 @@ path starts with the rule's; the longest rule wins. Other URLs are judged by how
 two variable-order Markov models, one of accepted and one of rejected URLs, give each character
 a probability after the longest context they know, smoothed into the shorter ones (Witten-Bell).
 The mean difference of the log-likelihoods, length-normalised, is the score. A URL below the
-threshold is blocked. The threshold is calibrated on all URLs: the highest that blocks at most
-``max_false`` of the accepted ones.
-
-URLs to learn from are labelled by ``reject``, a regular expression of words; all others are
-accepted. Counts are gathered from every URL and keyed by the exact context, so they grow with the
+threshold is blocked. The threshold is calibrated on URLs of hosts that the models then don't
+know: the counts of one host in four (by the MD5 of the host) are taken out, those hosts' URLs
+scored, and the highest threshold chosen that blocks at most ``max_false`` of the accepted ones.
+The models that judge count all URLs. Where the hosts taken out lack accepted or rejected URLs,
+all URLs calibrate.
+
+URLs to learn from are labelled by a column of the table, or else by ``reject``, a regular
+expression of words; all others are accepted. Counts are gathered from every URL and keyed by the exact context, so they grow with the
 URLs: characters fall into 64 symbols, a gram is a symbol after four others, and the table of gram
 counts stays in Spark. Contexts of up to two characters have 64 ** 3 cells at most, which are also
 kept as arrays; those of three and four are counted by windows over the grams that share their
@@ -17,7 +20,9 @@ last three characters (64 ** 2 at most). The gain of each distinct gram is joine
 the distinct URLs; gains are summed in units of 2 ** -36, so their order changes nothing.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; an empty URL has
-score 0 and is allowed. Without rejected URLs nothing is blocked by the models. Extra columns stay.
+score 0 and is allowed, whatever the threshold. A null label counts as accepted. Without rejected
+or without accepted URLs nothing is blocked by the models. Equal URLs have equal results. Extra
+columns stay, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, LongType, StructField, StructType
 
 from tidelog.llm.arrays import Texts, slices
-from tidelog.llm.kit import add_columns, cut, free_name, map_parts, row_lists
+from tidelog.llm.kit import add_columns, cut, free_name, map_parts, named, row_lists
 from tidelog.plans.shipping import map_batches
 
 ORDERS = 5
@@ -65,10 +70,14 @@ def rule_of(host_col: Column, path_col: Column, rules: list[tuple[str, str, str]
     return found
 
 
+# The characters that have a symbol of their own, from 1 on.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=% "
+
+
 def symbol_table() -> np.ndarray:
     """A symbol for each byte: letters, digits and the marks of URLs; 63 for all else."""
     out = np.full(256, 63, np.int64)
-    for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=% "):
+    for i, c in enumerate(SYMBOLS.encode()):
         out[c] = i + 1
     out[0x41:0x5B] = out[0x61:0x7B]
     return out
@@ -184,33 +193,51 @@ def scores(texts: DataFrame, model: UrlModel) -> DataFrame:
     return each.join(table, "g").groupBy("spelt").agg((F.sum("gain") / F.count("*") / UNITS).alias("score"))
 
 
-def fit(urls: DataFrame, url_col: str = "url", reject: str = REJECT, max_false: float = MAX_FALSE) -> UrlModel:
-    """Models and threshold from all URLs."""
-    rows = urls.select(spelling(F.col(url_col)).alias("s"), F.lower(F.coalesce(F.col(url_col), F.lit(""))).rlike(reject).alias("bad")).where(F.length("s") > 0)
-    schema = StructType([StructField("bad", ByteType()), StructField("g", LongType()), StructField("n", LongType())])
+def held_back(host_col: Column) -> Column:
+    """Whether a host's URLs calibrate the threshold: one host in four."""
+    return F.substring(F.md5(host_col.cast("binary")), 1, 1) < "4"
+
+
+def labelled(urls: DataFrame, url_col: str, bad_col: str | None, reject: str) -> DataFrame:
+    """(spelt, bad, held) of the URLs that aren't empty."""
+    url = F.coalesce(named(url_col), F.lit(""))
+    bad = F.coalesce(named(bad_col).cast("boolean"), F.lit(False)) if bad_col else F.lower(url).rlike(reject)
+    return urls.select(spelling(url).alias("spelt"), bad.alias("bad"), held_back(host(url)).alias("held")).where(F.length("spelt") > 0)
+
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """(g, n0, n1, h0, h1): how often each gram stands in accepted and rejected URLs, and in those held back."""
+    schema = StructType([StructField("kind", ByteType()), StructField("g", LongType()), StructField("n", LongType())])
 
     def count(batches):
         for batch in map_parts(batches):
-            bad = np.array(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for kind in (0, 1):
-                own = batch.column(0).filter(pa.array(bad == kind))
+            bad, held = (np.array(batch.column(i).to_numpy(zero_copy_only=False), np.int8) for i in (1, 2))
+            for kind in range(4):
+                own = batch.column(0).filter(pa.array(bad + 2 * held == kind))
                 found = [grams(t) for t in slices(own)]
                 if found:
                     g, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), kind, np.int8)), pa.array(g), pa.array(n.astype(np.int64))], names=schema.names)
 
-    of = lambda kind: F.sum(F.when(F.col("bad") == kind, F.col("n")).otherwise(0)).alias(f"n{kind}")
-    counts = cut(map_batches(rows, count, schema).groupBy("g").agg(of(0), of(1)), "url_counts")
+    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+    counts = map_batches(rows, count, schema).groupBy("g").agg(of(0, 2).alias("n0"), of(1, 3).alias("n1"), of(2).alias("h0"), of(3).alias("h1"))
+    return cut(counts, "url_counts")
+
+
+def model_of(counts: DataFrame) -> tuple[UrlModel, bool]:
+    """The model of counts (g, n0, n1), which blocks nothing yet, and whether it knows URLs of both kinds."""
     cell = (F.shiftright("g", 18) * 64 + F.col("g").bitwiseAND(63)).alias("cell")
     gathered = counts.groupBy(cell).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     by_two = np.zeros((2, 64**3))
     for kind in (0, 1):
         by_two[kind, gathered["cell"].to_numpy()] = gathered[f"n{kind}"].to_numpy()
-    model = UrlModel(counts, [short_probabilities(x) for x in by_two], -np.inf)
-    if not by_two[1].any() or not by_two[0].any():
-        return model
-    known = rows.groupBy("s", "bad").agg(F.count("*").alias("n")).withColumnRenamed("s", "spelt")
-    scored = known.join(scores(rows.select(F.col("s").alias("spelt")).distinct(), model), "spelt")
+    return UrlModel(counts, [short_probabilities(x) for x in by_two], -np.inf), bool(by_two[0].any() and by_two[1].any())
+
+
+def calibrate(rows: DataFrame, model: UrlModel, max_false: float) -> float:
+    """The highest threshold that blocks at most ``max_false`` of the accepted URLs, or the lowest that catches as many."""
+    known = rows.groupBy("spelt", "bad").agg(F.count("*").alias("n"))
+    scored = known.join(scores(rows.select("spelt").distinct(), model), "spelt")
     place = F.greatest(F.least(F.floor((F.col("score") - LOW) / (HIGH - LOW) * BINS), F.lit(BINS - 1)), F.lit(0))
     spread = np.zeros((2, BINS), np.int64)
     for bad, k, n in scored.groupBy("bad", place.alias("k")).agg(F.sum("n").alias("n")).collect():
@@ -218,21 +245,33 @@ def fit(urls: DataFrame, url_col: str = "url", reject: str = REJECT, max_false:
     blocked = np.concatenate(([0], np.cumsum(spread[0])))
     caught = np.concatenate(([0], np.cumsum(spread[1])))
     allowed = blocked <= max_false * max(blocked[-1], 1)
-    # Of thresholds that catch as many, the lowest.
-    best = int(np.argmax(np.where(allowed, caught, -1)))
-    return UrlModel(counts, model.short, LOW + best * (HIGH - LOW) / BINS)
+    return LOW + int(np.argmax(np.where(allowed, caught, -1))) * (HIGH - LOW) / BINS
+
+
+def fit(urls: DataFrame, url_col: str = "url", bad_col: str | None = None, reject: str = REJECT, max_false: float = MAX_FALSE) -> UrlModel:
+    """Models of all URLs, and a threshold from hosts that were held back."""
+    rows = labelled(urls, url_col, bad_col, reject)
+    counts = count_grams(rows)
+    model, both = model_of(counts.select("g", "n0", "n1"))
+    if not both:
+        return model
+    without, usable = model_of(counts.select("g", (F.col("n0") - F.col("h0")).alias("n0"), (F.col("n1") - F.col("h1")).alias("n1")).where("n0 + n1 > 0"))
+    apart = rows.where("held")
+    usable = usable and apart.select("bad").distinct().count() == 2
+    model.threshold = calibrate(apart, without, max_false) if usable else calibrate(rows, model, max_false)
+    return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, score and verdict."""
     h, p, r, s, v, text = (free_name(pages, x) for x in ("host", "path", "rule", "score", "verdict", "spelling"))
-    rows = pages.withColumn(text, spelling(F.col(url_col)))
+    rows = pages.withColumn(text, spelling(named(url_col)))
     spelt, found = free_name(rows, "spelt"), free_name(rows, "found")
     own = scores(rows.select(F.col(text).alias("spelt")).where(F.length("spelt") > 0).distinct(), model).select(F.col("spelt").alias(spelt), F.col("score").alias(found))
-    scored = rows.join(own, F.col(text) == F.col(spelt), "left").select(*pages.columns, F.coalesce(found, F.lit(0.0)).alias(s))
-    out = scored.withColumns({h: host(F.col(url_col)), p: path(F.col(url_col))})
+    scored = rows.join(own, F.col(text) == F.col(spelt), "left").withColumn(s, F.coalesce(found, F.lit(0.0)))
+    out = scored.withColumns({h: host(named(url_col)), p: path(named(url_col))})
     out = out.withColumn(r, rule_of(F.col(h), F.col(p), rules))
     by_rule = F.create_map(*(F.lit(x) for a, b, verdict in rules for x in (a + b, verdict))) if rules else F.lit(None)
-    own = F.when(F.col(s) < model.threshold, "block").otherwise("allow")
+    own = F.when((F.length(text) > 0) & (F.col(s) < model.threshold), "block").otherwise("allow")
     ruled = F.when(F.col(r).isNotNull(), by_rule[F.col(r)]).otherwise(own) if rules else own
-    return out.withColumn(v, ruled)
+    return out.select(*map(named, pages.columns), h, p, r, s, ruled.alias(v))
