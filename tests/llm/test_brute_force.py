@@ -6,14 +6,18 @@ import json
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import chat, components, decontam, langid, near_dedup, pii, quality, template, url_filter, warc
@@ -234,15 +238,7 @@ def test_probminhash_estimates_the_probability_jaccard():
 def test_base_counts_of_quality(texts):
     cases = [*texts.values(), None, "", "\n", "a\n\na", "é x y"]
     got = [row for t in slices(pa.array(cases)) for row in zip(*quality.describe(t).base.tolist(), strict=True)]
-    for t, row in zip(cases, got, strict=True):
-        w, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t or ""), set(), 0
-        for line in (t or "").split("\n"):
-            if re.search(r"[^\x20\x09-\x0D]", line):
-                dup += line in seen
-                seen.add(line)
-        grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        covered = {k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
-        assert row == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered))
+    assert got == [plain_counts(t) for t in cases]
 
 
 def test_viterbi_finds_the_best_sequence():
@@ -259,21 +255,74 @@ def test_viterbi_finds_the_best_sequence():
         assert got[own].tolist() == [bool(y) for y in best]
 
 
-def test_quality_keeps_good_documents_and_drops_junk(spark, duck, small):
-    judged = {r["doc_id"]: r for r in QUERIES["op9_quality"](spark, small.replace("sf0.001", "sf0.01")).collect()}
-    labels = duck.execute(f"SELECT doc_id, quality FROM '{small.replace('sf0.001', 'sf0.01')}/labels.parquet'").fetchall()
-    own = [(q, judged[i]) for i, q in labels if not judged[i]["base_failed"]]
-    assert np.mean([r["kept"] for q, r in own if q == 1]) > 0.99
-    assert np.mean([r["kept"] for q, r in own if q == 0]) < 0.1
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_quality_keeps_held_out_good_documents_and_drops_junk(spark, small):
+    at = small.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    model = quality.fit(docs.select("doc_id", "text"), known)
+    judged = {r["doc_id"]: r for r in quality.judge(docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi"), model, keep=["doc_id"]).collect()}
+    own = [(r["quality"], judged[r["doc_id"]]) for r in labels.collect() if held_out(r["doc_id"]) and not judged[r["doc_id"]]["base_failed"]]
+    good, bad = ([r["kept"] for q, r in own if q == k] for k in (1, 0))
+    assert len(good) > 500 and len(bad) > 50 and np.mean(good) > 0.99 and np.mean(bad) < 0.1
+
+
+def plain_counts(t):
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
+    w, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t or ""), set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered)
+
+
+def best_content(model, features):
+    """Viterbi in plain steps: whether each of a text's lines is content."""
+    score, paths = features @ model.weights, [(0.0, []), (0.0, [])]
+    for i, x in enumerate(score):
+        emit = (0.0, x)
+        paths = [
+            max(((paths[a][0] + (model.step[a, b] if i else 0) + emit[b], paths[a][1] + [bool(b)]) for a in ((0, 1) if i else (b,))), key=lambda p: p[0])
+            for b in (0, 1)
+        ]
+    return max(paths, key=lambda p: p[0])[1]
+
+
+def test_quality_query_agrees_with_plain_counts_and_decoding(spark, small, texts):
+    got = {r["doc_id"]: r for r in QUERIES["op9_quality"](spark, small).collect()}
+    model = quality.fit(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+    assert got.keys() == texts.keys() and {r["kept"] for r in got.values()} == {True, False}
+    for i, t in texts.items():
+        r, (n, chars, symbols, dup, repeats) = got[i], plain_counts(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeats)
+        assert r["base_failed"] == (n < 10 or 100 * repeats > 20 * n)
+        (part,) = slices(pa.array([t], pa.string()), 1 << 62)
+        lines = quality.describe(part)
+        share = lines.words @ np.array(best_content(model, lines.features), float) / max(n, 1) if n else 0.0
+        assert r["content_share"] == pytest.approx(share) and r["kept"] == (not r["base_failed"] and share >= quality.SHARE)
+
+
+def test_long_labelled_documents_teach_too(spark):
+    long = "\n".join(f"a line of words number {i}" for i in range(500))
+    docs = spark.createDataFrame([(1, long), (2, "short and good"), (2, "short and good")] + [(3, "x y z")] * 40, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (None, 1), (4, None)], "doc_id bigint, quality int")
+    sample = quality.training_sample(docs, labels, "doc_id", "text", "quality", 5, 64)
+    assert len(sample) == 10 and [len(x) for x, good in sample if not good] in ([64], [])
+    lines = sorted(len(x) for x, _ in quality.training_sample(docs.where("doc_id < 3"), labels, "doc_id", "text", "quality", 5, 64))
+    assert lines == [1, 1, 64]
 
 
 def test_held_out_languages(spark, duck, small):
     at = small.replace("sf0.001", "sf0.01")
     got = {r["doc_id"]: r for r in QUERIES["op7_langid"](spark, at).collect()}
-    import zlib
-
     truth = dict(duck.execute(f"SELECT doc_id, lang FROM '{at}/documents.parquet'").fetchall())
-    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in got.items())
+    assert all(r["held_out"] == held_out(i) and 0 <= r["score"] <= 1 for i, r in got.items())
     held = [i for i, r in got.items() if r["held_out"] and truth[i] is not None]
     assert np.mean([got[i]["lang_pred"] == truth[i] for i in held]) > 0.98
     assert langid.family("en") == "germanic" and langid.family("pt-BR") == "romance" and langid.family("zz") == "other"
@@ -281,20 +330,99 @@ def test_held_out_languages(spark, duck, small):
 
 def test_language_is_learnt_from_no_held_out_document(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
-    from pyspark.sql import functions as F
-
     other = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a, b = langid.fit(docs), langid.fit(other)
     assert a.languages == b.languages and all((x.weights == y.weights).all() for x, y in zip(a.between, b.between, strict=True))
 
 
-def test_url_models_catch_bad_hosts_and_few_others(spark, duck, small):
-    at = small.replace("sf0.001", "sf0.1")
-    own = [r for r in QUERIES["op8_url_filter"](spark, at).collect() if r["rule"] is None]
-    bad = [bool(re.search(url_filter.REJECT, r["host"])) for r in own]
+def plain_language(model, text):
+    """The language and score of a text, gram by gram."""
+    raw = pc.utf8_lower(pa.array([text]))[0].as_py().encode()
+    letter = lambda k: 0 <= k < len(raw) and (0x61 <= raw[k] <= 0x7A or raw[k] >= 0x80)
+    clean = lambda k: raw[k] if letter(k) else 0x20
+    slots = []
+    for k in filter(letter, range(len(raw))):
+        pair = clean(k) << 8 | clean(k + 1)
+        slots += [(x * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BITS) for x in (pair | 1 << 24, clean(k - 1) << 16 | pair)]
+
+    def winner(names, machines):
+        if len(names) == 1:
+            return names[0], 1.0
+        margins = {(m.first, m.second): sum(float(m.weights[s]) for s in slots) * langid.SCALE / (len(slots) / 2) + m.bias for m in machines}
+        votes = lambda n: sum((x >= 0) == (n == a) for (a, b), x in margins.items() if n in (a, b))
+        sums = lambda n: sum(x if n == a else -x for (a, b), x in margins.items() if n in (a, b))
+        best = max(names, key=lambda n: (votes(n), sums(n)))
+        weakest = min(x if best == a else -x for (a, b), x in margins.items() if best in (a, b))
+        return best, 1 / (1 + np.exp(-2 * np.clip(weakest, -20, 20)))
+
+    family, sure = winner(model.families, model.between)
+    lang, certain = winner(model.languages[family], model.within[family])
+    return lang, sure * certain
+
+
+def test_language_query_agrees_with_plain_votes(spark, small, texts):
+    got = {r["doc_id"]: r for r in QUERIES["op7_langid"](spark, small).collect()}
+    model = langid.fit(spark.read.parquet(f"{small}/documents.parquet"))
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        lang, score = plain_language(model, t) if regex.search(r"\p{L}", t or "") else ("und", 0.0)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-5) and got[i]["held_out"] == held_out(i)
+
+
+def test_rare_languages_and_repeated_rows_leave_the_sample_bounded(spark):
+    rows = [(i, f"text number {i} in a language", f"x{i % 7}") for i in range(70)] + [(7, "text number 7 in a language", "x0")] * 500
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=5, languages=3)
+    assert sum(map(len, model.languages.values())) <= 3 and "x0" in model.languages["other"]
+
+
+def plain_rule(url):
+    """host, path and rule of a URL, by the contract."""
+    _, found, rest = (url or "").partition("://")
+    if not found:
+        return "", "", None
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    rules = {"net/": ("net", "/"), "example.net/en/": ("example.net", "/en/"), "example.com/de/": ("example.com", "/de/"), "org/fr/": ("org", "/fr/")}
+    fits = [r for r, (h, p) in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_query_agrees_with_plain_rules(spark, small):
+    at = small.replace("sf0.001", "sf0.01")
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    verdicts = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    for r in QUERIES["op8_url_filter"](spark, at).collect():
+        assert (r["host"], r["path"], r["rule"]) == plain_rule(urls[r["page_id"]]) and r["verdict"] in ({verdicts[r["rule"]]} if r["rule"] else {"allow", "block"})
+
+
+def test_url_models_judge_hosts_they_have_not_seen(spark, small):
+    pages = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.1')}/pages.parquet").select("page_id", "url")
+    hosts = url_filter.host(F.col("url"))
+    known = F.crc32(hosts.cast("binary")) % 3 != 0
+    own = [r for r in url_filter.judge(pages.where(~known), url_filter.fit(pages.where(known)), []).collect()]
+    bad = [bool(re.search(url_filter.REJECT, r["url"].lower())) for r in own]
     blocked = [r["verdict"] == "block" for r in own]
-    assert sum(bad) > 20 and np.mean([b for b, x in zip(blocked, bad, strict=True) if x]) > 0.95
-    assert np.mean([b for b, x in zip(blocked, bad, strict=True) if not x]) < 0.01
+    # Some of the words that label hosts stand in none that was learnt, so much can't be known.
+    assert sum(bad) > 20 and np.mean([b for b, x in zip(blocked, bad, strict=True) if x]) > 0.5
+    assert np.mean([b for b, x in zip(blocked, bad, strict=True) if not x]) < 0.05
+
+
+def test_urls_are_learnt_from_a_column_of_labels(spark):
+    rng = random.Random(4)
+    some = lambda letters: "".join(rng.choice(letters) for _ in range(9))
+    rows = [(i, f"http://{some('aeioubdk')}.com/{some('aeioubdk')}", None if i % 5 else False) for i in range(300)]
+    rows += [(1000 + i, f"http://{some('qxzwvyjh')}.com/{some('qxzwvyjh')}", True) for i in range(120)] + [(5000, None, True), (5001, "", True)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, bad boolean")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.fit(pages, bad_col="bad"), []).collect()}
+    assert np.mean([out[i] == "block" for i in range(1000, 1120)]) > 0.95 and np.mean([out[i] == "allow" for i in range(300)]) > 0.98
+    assert out[5000] == out[5001] == "allow"
+    # The verdict of an empty URL doesn't hang on the threshold.
+    model = url_filter.fit(pages, bad_col="bad")
+    model.threshold = 3.0
+    assert {r["verdict"] for r in url_filter.judge(pages.where("page_id >= 5000"), model, []).collect()} == {"allow"}
+    one_kind = url_filter.fit(pages.where("page_id < 300"), bad_col="bad")
+    assert {r["verdict"] for r in url_filter.judge(pages, one_kind, []).collect()} == {"allow"}
 
 
 def test_smoothed_probabilities_sum_to_one():
@@ -515,6 +643,30 @@ def test_the_template_language():
             template.compile_template(bad, chat.FILTERS)
 
 
+def test_what_chat_templates_ask_for():
+    turns = lambda: template.Turns(iter([{"role": "system", "content": "S"}, {"role": "user", "content": "U"}, {"role": "assistant", "content": "A"}]))
+    source = """{%- if messages[0]['role'] == 'system' -%}{% set system = messages[0].content %}{% set rest = messages[1:] %}{%- else -%}{% set rest = messages %}{%- endif -%}
+    {%- if system is defined -%}<{{ system }}>{%- endif -%}{%- for m in rest -%}{%- if m.role not in ['x'] -%}{%- endif -%}{{ loop.index0 }}{{ m.content }}{%- endfor -%}"""
+    source = source.replace("m.role not in ['x']", "m.role not in 'x'")
+    assert render(source, messages=turns()) == "<S>0U1A"
+    assert render("{% if messages[0].role == 'user' %}no{% endif %}{% for m in messages %}{{ m.content }}{% endfor %}", messages=turns()) == "SUA"
+    assert render("{{ -1 + 3 }}{{ 'b' not in 'abc' }}{{ x is not defined }}{{ y is none }}{{ 'abc'[-1] }}{{ 'abcd'[1:3] }}{{ m.k is defined }}", y=None, m={"k": 1}) == "2FalseTrueTruecbcTrue"
+    assert render("{% if messages %}some{% endif %}", messages=template.Turns(iter([]))) == ""
+    with pytest.raises(template.TemplateError, match="odd turn"):
+        render("{% if messages[1].role != 'x' %}{{ raise_exception('odd ' ~ 'turn') }}{% endif %}", messages=turns())
+    for bad in ("{{ messages }}", "{{ messages | length }}", "{{ messages[-1] }}", "{{ messages[:1] }}", "{% for m in messages %}{% endfor %}{% for m in messages %}{% endfor %}", "{{ 1 + 'a' }}", "{{ x + 1 }}"):
+        with pytest.raises(template.TemplateError):
+            render(bad, messages=turns())
+
+
+def test_templates_cannot_allocate_at_will():
+    for bad in ("{{ '%999999999d' % 1 }}", "{{ 'a' * 1000000000 }}", "{{ 10000000000 * 10000000000 }}", "{{ 'a' * x }}", "{{ 1 % 0 }}", "{{ 1 is odd }}"):
+        with pytest.raises(template.TemplateError):
+            render(bad, x=10**9)
+    with pytest.raises(template.TemplateError):
+        render("{% set y = 'ab' %}{% for i in xs %}{% set y = y + y %}{{ y[0] }}{% endfor %}" + "{% set y = y * 100000000 * 100000000 %}", xs=[1])
+
+
 def test_constants_are_folded():
     nodes = template.fold_all(template.parse("a{{ 'b' ~ (1 + 2) }}{% if 1 > 2 %}x{% else %}c{% endif %}{{ 'D' | lower }}{{ y }}"), chat.FILTERS)
     assert [(n.kind, n.value) for n in nodes] == [("text", "ab3cd"), ("print", None)]

@@ -19,8 +19,10 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    """Columns with the names that operators add, in other cases too."""
+    """Columns with the names that operators add or use inside, in other cases too, and names that need quotes."""
     names = "N_LINES n_removed spans Safe_Text base n_words hits items n_hit contaminated ids decoded kept base_failed lang_pred score class_id id key host".split()
+    names += "id2 key2 tid same keys sketch comp term told s own lines w pos h1 h2 first cut_at cut_id CUT_KEY cut_lines class_of class_min pii_text pii_key pii_id2 pii_key2 pii_extra extra".split()
+    names += "doc_key doc_key_id doc_lines has_letter lang2 good place word_chars line_marks content_share a.b a`b".split() + ["", "two words"][1:]
     return docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 

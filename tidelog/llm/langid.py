@@ -5,13 +5,16 @@ each pair of languages of a family (one-versus-one). A text is described by the
 hashed byte bigrams and trigrams around letters, in lower case; a machine's margin is then the
 mean weight of the text's grams, so texts are scored whole, by table lookups.
 
-The machines are trained by dual coordinate descent on a bounded sample: of each language about
-``per_language`` labelled documents, those of the smallest hash. Held-out documents (the CRC-32
+The machines are trained by dual coordinate descent on a bounded sample: of each of the
+``languages`` most frequent languages about ``per_language`` labelled documents, those of the
+smallest hash of id and text. Rarer languages aren't learnt. Held-out documents (the CRC-32
 of the id's text leaves ``held_out`` when divided by ``folds``) and null ids are never learnt from.
 
 Defined results: ``und`` and score 0 for null texts and texts without a letter, and where nothing
 could be learnt; ties go to the larger margin, then to the first name. A language that was learnt
-alone in its family needs no machine there. Extra columns stay. Only counts are shuffled.
+alone in its family needs no machine there. Null ids, texts and languages are not learnt from.
+Extra columns stay, whatever their names. An empty table gives an empty table. Only counts are
+shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidelog.llm.arrays import Texts, slices
-from tidelog.llm.kit import add_columns, free_name, map_parts
+from tidelog.llm.kit import add_columns, free_name, map_parts, named
 from tidelog.plans.shipping import map_batches
 
 # Families of languages by ISO 639-1 code.
@@ -47,7 +50,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BITS = 14
 SIZE = 1 << BITS
 SCALE = 20.0
-PER_LANGUAGE = 500
+PER_LANGUAGE, LANGUAGES = 500, 64
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -121,15 +124,18 @@ def family(code: str) -> str:
     return FAMILY_OF.get(code.lower()[:2] if len(code) > 2 and code[2] in "-_" else code.lower(), "other")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """A model learnt from a bounded sample of the documents that aren't held out."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
+    usable = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
+    usable = usable.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return Model([], {}, [], {})
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_language / n))))
-    place = F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 40))
-    chosen = usable.where(place / float(1 << 40) < share[F.col(lang_col)]).select(place.alias("place"), F.col(lang_col).alias("lang"), text_col)
+    place = F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(1 << 40))
+    chosen = usable.where(place / float(1 << 40) < share[F.col("lang")]).select(place.alias("place"), "lang", "text")
+    # Repeated rows have one place, and are combined before they are shuffled.
+    chosen = chosen.dropDuplicates(["place", "lang"])
     schema = StructType([StructField("place", LongType()), StructField("lang", StringType()), StructField("slots", ArrayType(IntegerType())), StructField("x", ArrayType(FloatType()))])
 
     def run(batches):
@@ -201,7 +207,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """``docs`` (or its columns ``keep``) with lang_pred and score."""
     has_letter, lang, score = (free_name(docs, x) for x in ("has_letter", "lang_pred", "score"))
     kept = docs.columns if keep is None else keep
-    rows = docs.withColumn(has_letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.withColumn(has_letter, F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -8,12 +8,14 @@ finds the most probable sequence of content and boilerplate lines; a document is
 lines marked content hold at least ``share`` of its words.
 
 The CRF is trained by gradient ascent on documents with quality labels, each line taking its
-document's label. The sample is bounded: at most ``per_class`` documents of each label, those
-of the smallest hash, with at most ``max_lines`` lines each. Decoding looks at every line of
-every document. Without labelled documents of both kinds all lines count as content.
+document's label. The sample is bounded: at most ``per_class`` label rows of each label, those
+of the smallest hash, and of a document with more than ``max_lines`` worded lines a run of so many,
+which begins where its hash says. Decoding looks at every line of every document. Without
+labelled documents of both kinds all lines count as content.
 
 Defined results: null text has no words and fails; an unlabelled or doubly labelled document is
-no problem, each label row is one example. Extra columns stay. Only labels are shuffled.
+no problem, each label row is one example; null labels and ids are no examples. Extra columns stay,
+whatever their names. An empty table gives an empty table. Only labels are shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidelog.llm.arrays import U64, Texts, byte_class, gram_hashes, mix, runs, slices, span_hashes
-from tidelog.llm.kit import add_columns, free_name, map_parts
+from tidelog.llm.kit import add_columns, free_name, map_parts, named
 from tidelog.plans.shipping import map_batches
 
 SHARE = 0.5
@@ -231,27 +233,30 @@ def train(examples: list[tuple[np.ndarray, bool]], rounds: int = 150, rate: floa
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_lines: int) -> list[tuple[np.ndarray, bool]]:
     """Line features of at most ``per_class`` documents of each label."""
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    of = lambda q: labels.where((F.col(label_col) == q) & F.col(id_col).isNotNull()).select(id_col, F.lit(bool(q)).alias("good")).orderBy(*order).limit(per_class)
+    marks = labels.select(named(id_col).alias("id"), named(label_col).alias("label")).where("id IS NOT NULL")
+    of = lambda q: marks.where(F.col("label") == q).select("id", F.lit(bool(q)).alias("good")).orderBy(F.xxhash64("id"), "id").limit(per_class)
     # Two limits bound what is broadcast.
-    chosen = docs.select(id_col, text_col).join(F.broadcast(of(0).unionByName(of(1))), id_col).select(id_col, "good", text_col)
-    schema = StructType([StructField("id", LongType()), StructField("good", BooleanType()), StructField("lines", IntegerType()), StructField("x", ArrayType(FloatType()))])
+    own = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    chosen = own.join(F.broadcast(of(0).unionByName(of(1))), "id").select(F.xxhash64("id", "text").alias("place"), "good", "text")
+    schema = StructType([StructField("place", LongType()), StructField("good", BooleanType()), StructField("lines", IntegerType()), StructField("x", ArrayType(FloatType()))])
 
     def run(batches):
         for batch in map_parts(batches):
             rows = []
-            ids, good = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            places, good = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for texts in slices(batch.column(2)):
                 lines = describe(texts)
                 at = np.searchsorted(lines.text, np.arange(len(texts) + 1))
                 for i in range(len(texts)):
-                    own = lines.features[at[i] : at[i + 1]]
-                    if 0 < len(own) <= max_lines:
-                        rows.append((ids[texts.first + i], good[texts.first + i], len(own), own.astype(np.float32).ravel().tolist()))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=pa.schema([("id", pa.int64()), ("good", pa.bool_()), ("lines", pa.int32()), ("x", pa.list_(pa.float32()))]))
-
-    found = map_batches(chosen, run, schema).collect()
-    found.sort(key=lambda r: (r["id"], r["good"], r["lines"], r["x"]))
+                    own, place = lines.features[at[i] : at[i + 1]], places[texts.first + i]
+                    begin = place % (len(own) - max_lines + 1) if len(own) > max_lines else 0
+                    own = own[begin : begin + max_lines]
+                    if len(own):
+                        rows.append((place, good[texts.first + i], len(own), own.astype(np.float32).ravel().tolist()))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=pa.schema([("place", pa.int64()), ("good", pa.bool_()), ("lines", pa.int32()), ("x", pa.list_(pa.float32()))]))
+
+    # An id that stands in very many rows can't make the sample larger.
+    found = map_batches(chosen, run, schema).orderBy("place", "good", "lines", "x").limit(2 * per_class).collect()
     return [(np.array(r["x"], np.float64).reshape(r["lines"], -1), r["good"]) for r in found]
 
 
