@@ -6,14 +6,17 @@ its three lines are covered. Covered positions are merged into runs and cut out.
 
 Nothing but 16-byte window hashes and positions is shuffled to find repeats, and their counts
 are combined before the shuffle, so a window that half of all documents hold costs each task
-one row. Lines return to their document in arrays; the join that brings them there has one row
-per document on either side.
+one row. What is to be cut returns to its document as one array of positions: by a broadcast
+where the table of these arrays is small, so that no text is shuffled, else by a join that has
+one row per document on either side.
 
 Defined results: null text stays null and has no lines; an empty text has one empty line; a
 document of fewer than three lines has no window and stays as it is; a window of three blank
-lines never counts. Rows that share a doc_id (null included) and text are the same document,
+lines never counts, as such lines are layout that nearly all texts share and say nothing about
+a passage. Rows that share a doc_id (null included) and text are the same document,
 each returned with the same result; among rows with one doc_id and different texts, windows are
-ordered by the text's hash after the doc_id, and null comes before all ids. Extra columns stay.
+ordered by the text's hash after the doc_id, and null comes before all ids. Extra columns stay,
+whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.kit import cut, free_name
+from tidelog.llm.kit import cut, free_name, named, small
 
 WINDOW = 3
 
@@ -69,9 +72,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n_lines counts the lines before, n_removed those cut out. If all lines go, the text is empty.
     """
-    key, lines, starts = (free_name(docs, x) for x in ("doc_key", "doc_lines", "cut_at"))
-    text_key = F.xxhash64(F.col(text_col), F.lit(0))
-    windows = docs.select(F.col(id_col).alias("id"), text_key.alias("key"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    cut_id, cut_key, lines, starts = (free_name(docs, x) for x in ("cut_id", "cut_key", "cut_lines", "cut_at"))
+    text, text_key = named(text_col), F.xxhash64(named(text_col), F.lit(0))
+    windows = docs.select(named(id_col).alias("id"), text_key.alias("key"), F.split(text, "\n", -1).alias("lines"))
     windows = windows.select("id", "key", F.explode(_windows(F.col("lines"), size)).alias("w")).select("id", "key", "w.h1", "w.h2", "w.pos")
 
     place = F.struct("id", "key", "pos")
@@ -81,13 +84,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "windows",
     )
     later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    cuts = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias(starts)).withColumnsRenamed({"id": f"{key}_id", "key": key})
+    cuts = cut(later.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("at")), "cuts")
+    cuts = small(cuts).select(F.col("id").alias(cut_id), F.col("key").alias(cut_key), F.col("at").alias(starts))
 
-    split = F.split(F.col(text_col), "\n", -1)
-    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col(f"{key}_id")) & text_key.eqNullSafe(F.col(key)), "left")
+    split = F.split(text, "\n", -1)
+    joined = docs.join(cuts, named(id_col).eqNullSafe(F.col(cut_id)) & text_key.eqNullSafe(F.col(cut_key)), "left")
     joined = joined.withColumn(lines, F.when(F.col(starts).isNotNull(), _without(split, F.col(starts), size)))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
     n_kept = F.when(F.col(lines).isNull(), n_lines).otherwise(F.size(lines).cast("long"))
-    out = {c: F.col(c) for c in docs.columns}
-    out[text_col] = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
+    out = {c: named(c) for c in docs.columns}
+    out[text_col] = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(lines, "\n"))
     return joined.select(*(v.alias(c) for c, v in out.items()), n_lines.alias(free_name(docs, "n_lines")), (n_lines - n_kept).alias(free_name(docs, "n_removed")))
