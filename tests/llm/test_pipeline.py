@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -57,3 +58,25 @@ def test_the_run_is_the_stages(spark, corpus):
     at, _ = corpus
     rows = corpus_pipeline.run(spark, at).collect()
     assert len({r["doc_id"] for r in rows}) == len(rows) and {900001, 900007, 900008, 900009} <= {r["doc_id"] for r in rows}
+
+
+def test_stages_hold_whatever_the_columns_and_rows_are(spark, corpus):
+    at, planted = corpus
+    fine = planted[900001]
+    rows = [(1, fine, "en", "s", 5), (1, fine, "en", "s", 5), (1, planted[900009], None, None, None), (None, fine + " and a little more", "en", "s", 7), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    rows += [(None, planted[900007], "en", "s", 1), (None, planted[900007], "en", "s", 1), (4, planted[900004], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    extra = "kept n_removed n_lines contaminated hits items base_failed line_marks id comp node lost_node key tid nth_of_id a.b".split()
+    docs = corpus_pipeline.cut(docs.select("*", *(F.lit(False).alias(c) for c in extra[:4]), *(F.lit("x").alias(c) for c in extra[4:])), "odd")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.schema == docs.schema and stage(spark, docs.limit(0), at).count() == 0
+        left[name] = sorted((str(r["doc_id"]), (r["text"] or "")[:20]) for r in out.collect())
+    ids = {name: [i for i, _ in own] for name, own in left.items()}
+    assert ids["quality rules"] == ["1", "1", "1", "4", "None", "None", "None"]
+    # Repeated rows are one document to line dedup, and so keep their lines.
+    assert len(left["line dedup"]) == 9 and len(left["benchmark decontamination"]) == 8 and "4" not in ids["benchmark decontamination"]
+    # One of the repeated rows, its near copy without an id, and one of the other repeated ones go.
+    assert ids["MinHash near-dedup"] == ["1", "1", "2", "4", "None", "None"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() == len(rows)
