@@ -43,7 +43,8 @@ def by_term(messages: DataFrame, stored: DataFrame) -> DataFrame:
     """Messages (replica, arrival, term, kind) with seen_term, the replica's term on arrival, and what becomes of them.
 
     Older terms are dropped, but an old APPEND is refused, with the current term in the answer.
-    A replica's own campaigns are to be among the messages, as they raise its term too.
+    A replica's own campaigns are to be among the messages, as they raise its term too. What a
+    replica is sent is one window, sorted by Spark in one task, spilling to disk.
     """
     earlier = Window.partitionBy("replica").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     known = messages.join(stored.withColumnRenamed("term", "stored_term"), "replica", "left")

@@ -12,7 +12,11 @@ from tidelog.functions.records import HEADER_BYTES, record_length
 
 
 def with_offsets(writes: DataFrame) -> DataFrame:
-    """The writes with record_length, and offset, where in its file each record begins."""
+    """The writes with record_length, and offset, where in its file each record begins.
+
+    A file is one window, sorted by Spark in one task, spilling to disk; files are the unit of
+    parallelism, as their size is bounded where they are written.
+    """
     sized = writes.withColumn("record_length", record_length(F.col("key"), F.col("value")))
     before = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return sized.withColumn("offset", F.coalesce(F.sum("record_length").over(before), F.lit(0)).cast("bigint"))
