@@ -53,7 +53,7 @@ BANDS, ROWS = 16, 4
 REGISTERS = 256
 FIRST = 64
 SPLIT = 512
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 8_000_000
 MET = 200_000
 
@@ -71,13 +71,15 @@ def weighted_shingles(texts: Texts, size: int = WORDS) -> tuple[np.ndarray, np.n
         first = np.searchsorted(owner, short)
         all_words = np.array([_fold(words[a : a + n]) for a, n in zip(first.tolist(), n_words[short].tolist(), strict=True)], U64)
         text, value = np.concatenate((text, short)), np.concatenate((value, all_words))
-    keys = mix(value ^ mix(text.astype(U64) + U64(1)))
-    order = np.argsort(keys)
-    edges = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(order) else order
+    # Sorted by text and value; one sort of both in one number does, unless two values of a text begin alike.
+    both = text.astype(U64) << U64(40) | value >> U64(24)
+    order = np.argsort(both)
+    if (both[order][1:] == both[order][:-1]).any() and (value[order][1:] != value[order][:-1])[both[order][1:] == both[order][:-1]].any():
+        order = np.lexsort((value, text))
+    text, value = text[order], value[order]
+    edges = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])))) if len(order) else order
     counts = np.diff(np.concatenate((edges, [len(order)])))
-    text, value = text[order[edges]], value[order[edges]]
-    order = np.lexsort((value, text))
-    return text[order], value[order], 1 + np.log(counts[order])
+    return text[edges], value[edges], 1 + np.log(counts)
 
 
 def _fold(words: np.ndarray) -> np.uint64:
