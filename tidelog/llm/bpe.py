@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
 from tidelog.llm.kit import add_columns, free_name, row_lists
 
-KEPT_BYTES = 24_000_000
+KEPT_BYTES = 40_000_000
 SHORT = 64
 LONG = 48
 SIDE = 1 << 32
@@ -62,19 +62,16 @@ class Recent(dict):
         self.make, self.kept_bytes, self.room, self.length, self.older = make, kept_bytes, kept_bytes, length, {}
 
     def __missing__(self, key):
+        value = self.older.get(key) or self.make(key)
         n = self.length(key)
-        if n > SHORT:
-            return self.make(key)
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        # A key, a tuple and their place in the table, about.
-        self.room -= 250 + 2 * n + 8 * len(value)
-        if self.room < 0:
-            self.older = dict(self)
-            self.clear()
-            self.room = self.kept_bytes
-        self[key] = value
+        if n <= SHORT:
+            # A key, a tuple and their place in the table, about.
+            self.room -= 250 + 2 * n + 8 * len(value)
+            if self.room < 0:
+                self.older = dict(self)
+                self.clear()
+                self.room = self.kept_bytes
+            self[key] = value
         return value
 
 
@@ -139,7 +136,7 @@ class Bpe:
         self.space = regex.compile(f"[{SPACE}]+").split
         self.marks = {t[0] for t in self.special}
         self.chunk = Recent(self._chunk)
-        self.word = Recent(self._word)
+        self.word = Recent(self._word, KEPT_BYTES // 10)
         self.fragment = Recent(self._fragment, KEPT_BYTES // 10, lambda key: len(key[0]))
 
     def _pairs_inside(self, letters: list[str]) -> bytearray:
@@ -159,9 +156,9 @@ class Bpe:
         """The ids of what stands between white space, which no word of the pattern crosses."""
         # Letters, or letters and a mark, are what the pattern would make of them.
         if self.by_letters and chunk.isalpha():
-            return self.word[chunk]
+            return self._word(chunk)
         if self.by_letters and chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
-            return self.word[chunk[:-1]] + self.word[chunk[-1]]
+            return self.chunk[chunk[:-1]] + self.word[chunk[-1]]
         return tuple(chain.from_iterable(map(self.word.__getitem__, self.words(chunk))))
 
     def _word(self, word: str) -> tuple[int, ...]:
